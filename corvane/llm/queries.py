@@ -11,6 +11,19 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """Where the public vocabulary files lie; operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.packing import pack
+
+    return pack(_docs(spark, sf_dir), vocabulary())
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.mixing import mix_by_source
 
@@ -29,6 +42,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_docs(spark, sf_dir))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.token_counts import count_tokens
+
+    return count_tokens(_docs(spark, sf_dir), vocabulary())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
