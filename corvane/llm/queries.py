@@ -48,6 +48,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_docs(spark, sf_dir), vocabulary())
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.quality import classify
+
+    return classify(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
