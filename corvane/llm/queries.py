@@ -36,6 +36,12 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_docs(spark, sf_dir))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.fingerprints import fingerprint
+
+    return fingerprint(_docs(spark, sf_dir))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.exact_dedup import exact_dedup
 
