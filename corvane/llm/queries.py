@@ -54,12 +54,24 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(_docs(spark, sf_dir))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.pii import personal_data
+
+    return personal_data(_docs(spark, sf_dir))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.token_counts import count_tokens
 
     return count_tokens(_docs(spark, sf_dir), vocabulary())
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.substring_dedup import repeated_passages
+
+    return repeated_passages(_docs(spark, sf_dir))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.quality import classify
 
