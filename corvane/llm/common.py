@@ -55,3 +55,18 @@ def bucket_bits(rows: int, per_bucket: int, most: int = 16) -> int:
 
 def top_bits(hashed: Column, bits: int) -> Column:
     return F.shiftrightunsigned(hashed, 64 - bits).cast("int")
+
+
+#: The column that tells rows apart where rows are chosen; dropped again.
+KEY = "_corvane_key"
+
+
+def row_key(told_apart_by: Column | None = None) -> Column:
+    """Identifier and text in short: rows that share it are the same row repeated."""
+    text = F.hex(F.xxhash64(text_or_empty())) if told_apart_by is None else told_apart_by
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), text)
+
+
+def chosen(docs: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """The rows of docs whose key is in keys (column KEY), once each."""
+    return docs.withColumn(KEY, key).join(keys.select(KEY), KEY, "left_semi").dropDuplicates([KEY]).select(docs.columns)

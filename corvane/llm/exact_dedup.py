@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import SPACE, stored, text_or_empty
+from corvane.llm.common import KEY, SPACE, chosen, row_key, stored, text_or_empty
 
 RUN_SCHEMA = "run long, seq long, digest binary, min_id long, n long, ids array<long>"
 _ARROW_RUN = pa.schema([("run", pa.int64()), ("seq", pa.int64()), ("digest", pa.binary()), ("min_id", pa.int64()), ("n", pa.int64()), ("ids", pa.list_(pa.int64()))])
@@ -143,6 +143,6 @@ def exact_dedup(docs: DataFrame, memtable_rows: int = 50_000) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of docs that a (doc_id, kept) table keeps, once each."""
-    keepers = found.where("kept").select(F.col("doc_id").alias("_keeper"))
-    return docs.join(keepers, docs["doc_id"].eqNullSafe(F.col("_keeper")), "left_semi").dropDuplicates(["doc_id"])
+    """The rows of docs that exact_dedup keeps, once each, with all their columns."""
+    keys = found.where("kept").select(row_key(F.col("text_sha256")).alias(KEY))
+    return chosen(docs, row_key(F.sha2(normalised(), 256)), keys)

@@ -8,7 +8,7 @@ the hash, and an exact subset sum over the few documents behind the prefix close
 
 Cases: null text has no words; a null source is a source of its own, last in order; documents without words are taken 0
 words; repeated rows are taken each for itself; an empty table gives an empty result. Reruns agree: the order is
-(hash, identifier, size).
+(hash, identifier and text).
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import WORD, bucket_bits, seeded_hash, source_key, stored, top_bits
+from corvane.llm.common import KEY, WORD, bucket_bits, row_key, seeded_hash, source_key, stored, top_bits
 
 MOST_TIMES = 3
 
@@ -107,7 +107,7 @@ def fill(sizes: list[int], room: int) -> list[bool]:
 
 def _choose(rows: pd.DataFrame, tail: int) -> pd.DataFrame:
     """One pattern's documents at the end of its prefix: in order while they fit, then a subset of the next `tail`."""
-    rows = rows.sort_values(["h", "doc_id", "size"], na_position="last", kind="stable")
+    rows = rows.sort_values(["h", "row_key"], kind="stable")
     room, sizes = int(rows["room"].iloc[0]), [int(x) for x in rows["size"]]
     take = [False] * len(sizes)
     at = 0
@@ -115,17 +115,17 @@ def _choose(rows: pd.DataFrame, tail: int) -> pd.DataFrame:
         take[at], room, at = True, room - sizes[at], at + 1
     for i, t in enumerate(fill(sizes[at : at + tail], min(room, sum(sizes[at : at + tail])))):
         take[at + i] = t
-    return rows.assign(extra=take)[["doc_id", "size", "pattern", "h", "extra"]]
+    return rows.assign(extra=take)
 
 
-def mix(docs: DataFrame, members: F.Column, weight_of, seed: int = 29, total: float | None = None, per_bucket: int = 256, tail: int = 48, zone_rows: int = 4096, extra_columns: tuple = ()) -> tuple[DataFrame, dict]:
-    """(doc_id, pattern, size, times), and the plan on the driver: sizes, targets and flows by source.
+def mix(docs: DataFrame, members: F.Column, weight_of, seed: int = 29, total: float | None = None, per_bucket: int = 256, tail: int = 48, zone_rows: int = 4096) -> tuple[DataFrame, dict]:
+    """(doc_id, row_key, pattern, size, times), and the plan on the driver: sizes, targets and flows by source.
 
     members: an array of the keys of the sources that a document belongs to. weight_of: sorted keys to weights.
     The driver holds a row per membership pattern, never a row per document.
     """
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.array_sort(F.array_distinct(members)).alias("members")).withColumn("pattern", F.to_json("members")).withColumn("h", seeded_hash(seed, "doc_id")), "mix-rows")
+    rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.array_sort(F.array_distinct(members)).alias("members"), row_key().alias("row_key")).withColumn("pattern", F.to_json("members")).withColumn("h", seeded_hash(seed, "doc_id")), "mix-rows")
     found = rows.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).orderBy("pattern").collect()
     patterns = [(frozenset(r["members"]), r["size"]) for r in found]
     keys = sorted({s for p, _ in patterns for s in p}, key=lambda s: s.encode())
@@ -146,10 +146,10 @@ def mix(docs: DataFrame, members: F.Column, weight_of, seed: int = 29, total: fl
     state = F.when(F.col("inside"), "in").when((F.col("behind") < zone_rows) & (F.col("left") > 0), "end").otherwise("out")
     sums = sums.select("pattern", "bucket", "whole", F.col("left").alias("room"), state.alias("state"))
     marked = rows.join(sums, ["pattern", "bucket"])
-    ends = marked.where("state = 'end'").select("doc_id", "size", "pattern", "h", "room", "whole")
-    end_rows = ends.groupBy("pattern", "whole").applyInPandas(lambda key, pdf: _choose(pdf, tail).assign(whole=key[1])[["doc_id", "size", "pattern", "whole", "extra"]], "doc_id long, size long, pattern string, whole long, extra boolean")
-    rest = marked.where("state <> 'end'").select("doc_id", "size", "pattern", "whole", (F.col("state") == "in").alias("extra"))
-    out = rest.unionByName(end_rows).select("doc_id", "pattern", "size", (F.col("whole") + F.col("extra").cast("long")).alias("times"))
+    ends = marked.where("state = 'end'").select("doc_id", "row_key", "size", "pattern", "h", "room", "whole")
+    end_rows = ends.groupBy("pattern", "whole").applyInPandas(lambda pdf: _choose(pdf, tail)[["doc_id", "row_key", "size", "pattern", "whole", "extra"]], "doc_id long, row_key string, size long, pattern string, whole long, extra boolean")
+    rest = marked.where("state <> 'end'").select("doc_id", "row_key", "size", "pattern", "whole", (F.col("state") == "in").alias("extra"))
+    out = rest.unionByName(end_rows).select("doc_id", "row_key", "pattern", "size", (F.col("whole") + F.col("extra").cast("long")).alias("times"))
     return out, {"sizes": sizes, "targets": targets, "flows": [(r["pattern"], r["members"], f) for r, f in zip(found, flows, strict=True)]}
 
 
@@ -163,3 +163,11 @@ def mix_by_source(docs: DataFrame, seed: int = 29) -> DataFrame:
     known = [(pattern, plan["sizes"][members[0]], plan["targets"][members[0]]) for pattern, members, _ in plan["flows"]]
     table = docs.sparkSession.createDataFrame(known or [("", 0, 0.0)], "pattern string, source_size long, target double")
     return out.join(table, "pattern").select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"), "times")
+
+
+def mixed(docs: DataFrame, seed: int = 29) -> DataFrame:
+    """The rows of docs as often as the mix takes them, with all their columns."""
+    out, _ = mix(docs, F.array(source_key()), repeating_weights, seed)
+    times = out.groupBy(F.col("row_key").alias(KEY)).agg(F.sum("times").alias("_corvane_times")).where("_corvane_times > 0")
+    rows = docs.withColumn(KEY, row_key()).dropDuplicates([KEY]).join(times, KEY)
+    return rows.withColumn("_corvane_copy", F.explode(F.sequence(F.lit(1), F.col("_corvane_times").cast("int")))).select(docs.columns)

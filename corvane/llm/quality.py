@@ -92,8 +92,8 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64), np.frombuffer(b"".join(texts), np.uint8)
 
 
-def fit(texts: list[bytes], labels: list[int], width: int = 6, filters: int = 16, chunk: int = 256, epochs: int = 5, batch: int = 32, rate: float = 0.01, seed: int = 5) -> ByteNet:
-    """Logistic loss by Adam; the gradient of a pooled value goes to the window that won."""
+def fit(texts: list[bytes], labels: list[int], width: int = 6, filters: int = 16, chunk: int = 256, epochs: int = 5, batch: int = 32, rate: float = 0.01, seed: int = 5, least_steps: int = 300) -> ByteNet:
+    """Logistic loss by Adam, for `epochs` rounds or `least_steps` steps; the gradient of a pooled value goes to the window that won."""
     net = ByteNet.new(width, filters, chunk, seed)
     y = np.array(labels, np.float32)
     net.shift = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
@@ -101,8 +101,9 @@ def fit(texts: list[bytes], labels: list[int], width: int = 6, filters: int = 16
     names = ("filters", "bias", "top", "shift")
     moments = {n: [np.zeros_like(np.asarray(getattr(net, n), np.float32)) for _ in range(2)] for n in names}
     step = 0
-    total = epochs * -(-len(texts) // batch)
-    for _ in range(epochs):
+    rounds = max(epochs, -(-least_steps // -(-len(texts) // batch)))
+    total = rounds * -(-len(texts) // batch)
+    for _ in range(rounds):
         order = random.permutation(len(texts))
         for at in range(0, len(order), batch):
             own = order[at : at + batch]

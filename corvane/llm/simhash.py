@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import stored, text_or_empty
+from corvane.llm.common import KEY, chosen, row_key, stored, text_or_empty
 from corvane.llm.components import components
 
 LANES = 128
@@ -73,8 +73,8 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def fingerprinted(docs: DataFrame, words: int = 3, sketch_words: int = 0) -> DataFrame:
-    """doc_id, fp (signed), sketch, node: in the shared folder."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"))
+    """doc_id, fp (signed), sketch, row_key, node: in the shared folder."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"), row_key().alias("row_key"))
 
     def run(batches):
         for batch in batches:
@@ -84,9 +84,9 @@ def fingerprinted(docs: DataFrame, words: int = 3, sketch_words: int = 0) -> Dat
                 raw = text.as_py()
                 prints[i] = simhash(shingle_hashes(raw, words))
                 sketches.append(sketch(shingle_hashes(raw, sketch_words)) if sketch_words else b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), pa.array(sketches, pa.binary())], names=["doc_id", "fp", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), pa.array(sketches, pa.binary()), batch.column(2)], names=["doc_id", "fp", "sketch", "row_key"])
 
-    made = rows.mapInArrow(run, "doc_id long, fp long, sketch binary")
+    made = rows.mapInArrow(run, "doc_id long, fp long, sketch binary, row_key string")
     return stored(made.withColumn("node", F.xxhash64("fp", "sketch") if sketch_words else F.col("fp")), "simhash-rows")
 
 
@@ -205,18 +205,18 @@ def near_links(points: DataFrame, radius: int, min_similarity: float | None = No
 
 
 def near_components(docs: DataFrame, words: int = 3, radius: int = 3, sketch_words: int = 0, min_similarity: float | None = None, **tiling) -> DataFrame:
-    """doc_id, fingerprint (hex), component_id."""
+    """doc_id, fingerprint (hex), component_id; represents: the row that stands for its component; row_key."""
     rows = fingerprinted(docs, words, sketch_words if min_similarity is not None else 0)
-    points = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("rep"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
+    points = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.min(first).alias("rep"))
     points = stored(points, "simhash-points")
     linked = components(near_links(points.select("fp", "sketch", "node"), radius, min_similarity, **tiling))
     labelled = points.select("node", "rep").join(linked, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
-    named = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
-    names = labelled.select("node", "label").join(named, "label").select("node", "component_id")
-    return rows.join(names, "node").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = labelled.groupBy("label").agg(F.min("rep").alias("rep"))
+    names = labelled.select("node", "label").join(named, "label").select("node", F.col("rep.doc_id").alias("component_id"), F.col("rep.row_key").alias("rep_key"))
+    return rows.join(names, "node").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", (F.col("row_key") == F.col("rep_key")).alias("represents"), "row_key")
 
 
 def keep_representatives(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of docs whose identifier names their component, once each; rows without identifier in components of no other stay, one a component."""
-    keepers = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_keeper")).distinct()
-    return docs.join(keepers, docs["doc_id"].eqNullSafe(F.col("_keeper")), "left_semi").dropDuplicates(["doc_id"])
+    """The rows of docs that represent their component, once each, with all their columns."""
+    return chosen(docs, row_key(), found.where("represents").select(F.col("row_key").alias(KEY)))

@@ -47,9 +47,9 @@ def test_brute_force_and_neighbours():
 def test_query_edges(spark):
     docs = edge_docs(spark)
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(12)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
-    got = classify(docs, labels, epochs=1).toPandas()
+    got = classify(docs, labels, epochs=1, least_steps=1).toPandas()
     assert len(got) == docs.count() and got.score.between(0, 1).all() and set(got.predicted) <= {0, 1}
-    again = classify(docs.repartition(3), labels, epochs=1).toPandas()
+    again = classify(docs.repartition(3), labels, epochs=1, least_steps=1).toPandas()
     assert sorted(got.score) == sorted(again.score)
     assert classify(docs, labels.limit(0)).select("score").distinct().collect()[0][0] == 0.5
     assert classify(docs.limit(0), labels).count() == 0
