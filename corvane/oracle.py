@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from corvane.functions import scalars as S
-from corvane.operators.serve import CATEGORY, CITY_FACTOR, TIER_FACTOR, TYPE_FACTOR, ZONE_PRICE
+from corvane.operators.serve import CATEGORY, CITY_FACTOR, TYPE_FACTOR, ZONE_PRICE
 from corvane.plans.canonical import LISTINGS_SQL, SNAPSHOTS_SQL
 from corvane.sources.synthetic import DAYS
 
@@ -477,4 +477,12 @@ SQL["i04_allocation"] = with_(SCORED) + "SELECT tier, count(*) AS artists, CAST(
 # quality
 
 SQL["q03_quality_rates"] = with_(L, "q AS (SELECT quantile_cont(listing_price, 0.25) AS a, quantile_cont(listing_price, 0.75) AS b FROM listings)") + f"SELECT count(*) AS n, {r4('count(*) FILTER (listing_price < 1 OR listing_price > 50000 OR listing_price < a - 1.5::DOUBLE * (b - a) OR listing_price > b + 1.5::DOUBLE * (b - a)) / count(*)')} AS outlier_rate, {r4('1 - count(face_value) / count(*)')} AS null_rate FROM listings, q"
-del TIER_FACTOR
+
+# streams
+
+SQL["r02_stream_distinct"] = "SELECT DISTINCT 'E' || user_id AS event_id, event_type AS seat_zone FROM events"
+SQL["r05_stream_dedup_6h"] = SQL["w05_dedup_6h"].replace("SELECT seq, dup AS is_duplicate FROM f", "SELECT seq FROM f WHERE NOT dup")
+SQL["r06_stream_disappearances"] = with_(
+    "sc AS (SELECT DISTINCT user_id, ts FROM events)", "n AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS r FROM sc)", "o AS (SELECT DISTINCT e.user_id, e.event_type, e.ts, n.r FROM events e JOIN n ON n.user_id = e.user_id AND n.ts = e.ts)",
+    "m AS (SELECT user_id, max(r) AS last FROM n GROUP BY 1)", "g AS (SELECT o.*, coalesce(lead(r) OVER (PARTITION BY o.user_id, event_type ORDER BY r), m.last + 1) - r - 1 AS gap FROM o JOIN m ON m.user_id = o.user_id)",
+) + "SELECT 'E' || g.user_id || '-' || event_type AS listing_id, g.ts AS last_seen, n.ts AS missed_at FROM g JOIN n ON n.user_id = g.user_id AND n.r = g.r + 1 WHERE gap >= 2"

@@ -681,3 +681,92 @@ def q03_quality_rates(spark, sf_dir):
 
 
 __all__ = ["queries", "oracle_sql", "flagship", "smooth", "W"]
+
+
+# models: no SQL says the same, rows only
+
+
+def _model_rows(spark, sf_dir) -> tuple[DataFrame, list[str]]:
+    rows = listings(spark, sf_dir).where("listing_price >= 10")
+    train = rows.where("is_train")
+    out = rows
+    names: list[str] = []
+    for make in (features.Seating, features.TimeSeries, features.Venue, features.Performer):
+        made = make().fit(train)
+        out = made.transform(out)
+        names += made.names
+    return out.withColumn("label", F.log1p("listing_price")), names
+
+
+@query
+def m01_ridge(spark, sf_dir):
+    from corvane.operators.models import Ridge
+
+    rows, names = _model_rows(spark, sf_dir)
+    out = Ridge(names, categories=["event_type"]).fit(rows.where("is_train")).predict(rows.where("not is_train"))
+    return evaluate.regression(out.select(F.col("listing_price").alias("actual"), F.expm1("prediction").alias("predicted")))
+
+
+@query
+def m02_boosted_bands(spark, sf_dir):
+    from corvane.operators.models import Banded, Boosted
+
+    rows, names = _model_rows(spark, sf_dir)
+    train = rows.where("is_train")
+    made = Banded(Boosted(names, rounds=5, depth=4)).fit(train.where("quantity <> 1"), train.where("quantity = 1"))
+    out = made.predict(rows.where("not is_train"))
+    return out.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("label").between(F.col("lower"), F.col("upper")).cast("double")).alias("covered"), F.avg(F.abs(F.col("label") - F.col("prediction"))).alias("mae_log"))
+
+
+@query
+def m12_sale_probability(spark, sf_dir):
+    from corvane.operators.models import SaleProbability
+
+    rows, names = _model_rows(spark, sf_dir)
+    rows = rows.withColumn("label", (F.col("listing_price") > 500).cast("int"))
+    out = SaleProbability(names[:12]).fit(rows.where("is_train")).predict(rows.where("not is_train"), "score")
+    return evaluate.classification(out)
+
+
+# streams: drained with what the source holds now
+
+
+def _event_stream(spark, sf_dir) -> DataFrame:
+    from corvane.streaming import jobs
+
+    schema = table(spark, sf_dir, "events").schema
+    return jobs.source(spark, f"{sf_dir}/event[s].parquet", schema).selectExpr("concat('E', cast(user_id AS string)) AS event_id", "event_type AS seat_zone", "event_id AS seq", "cast(ts AS timestamp) AS timestamp", "value AS listing_price")
+
+
+def _drained(spark, stream, name, mode="append") -> DataFrame:
+    import uuid
+
+    from corvane.plans.shared import folder
+    from corvane.streaming import jobs
+
+    at = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return jobs.drained(stream, f"{at}/out", f"{at}/checkpoint", mode)
+
+
+@query
+def r02_stream_distinct(spark, sf_dir):
+    from corvane.streaming import jobs
+
+    out = _drained(spark, jobs.distinct_listings(_event_stream(spark, sf_dir), ["event_id", "seat_zone"], late="60 days"), "distinct")
+    return out.select("event_id", "seat_zone")
+
+
+@query
+def r05_stream_dedup_6h(spark, sf_dir):
+    from corvane.streaming import jobs
+
+    return _drained(spark, jobs.anchored_dedup(_event_stream(spark, sf_dir), ["event_id", "seat_zone"]), "dedup").select("seq")
+
+
+@query
+def r06_stream_disappearances(spark, sf_dir):
+    from corvane.streaming import jobs
+
+    rows = _event_stream(spark, sf_dir).select("event_id", F.concat_ws("-", "event_id", "seat_zone").alias("listing_id"), "timestamp")
+    out = _drained(spark, jobs.disappearances(rows), "gone")
+    return out.select("listing_id", F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), F.col("missed_at").cast("timestamp_ntz").alias("missed_at"))
