@@ -147,3 +147,18 @@ def test_entry_and_catalogue(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 100
     assert len(e.entry(spark).take(1)) == 1
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from corvane import cli
+
+    rows = [listing(i, 50.0 + i % 40 * 5, section=f"Section {100 + i % 3 * 100}", event=f"e{i % 12}", hours=i, artist=f"a{i % 4}", capacity=9000) for i in range(240)]
+    path = str(tmp_path / "in")
+    frame(spark, rows).withColumn("event_type", F.lit("concert")).withColumn("event_datetime", F.expr("event_datetime + make_dt_interval(cast(substr(event_id, 2) as int))")).write.parquet(path)
+    assert cli.run(["preprocess", "--data", path, "--output", str(tmp_path / "out")], spark) == 0
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 240
+    assert cli.run(["train", "--data", path, "--model", "ridge"], spark) == 0
+    metrics = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert metrics["n"] == 36 and metrics["features"] > 20
+    (tmp_path / "log.jsonl").write_text("\n".join(json.dumps({"version": f"v{i}", "primary_mae": 30 - i / 10, "timestamp": f"2025-0{i}"}) for i in range(1, 6)))
+    assert cli.run(["stalled", "--data", str(tmp_path / "log.jsonl")], spark) == 1
