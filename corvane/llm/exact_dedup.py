@@ -93,9 +93,9 @@ def hit_filter(hits: DataFrame, n_hits: int, most_bits: int = 26) -> tuple[np.nd
     """
     bits = max(10, min(most_bits, (16 * n_hits - 1).bit_length()))
     spots = hits.select(F.explode(F.array(*_spots(F.col("digest"), bits))).alias("spot"))
-    words = spots.groupBy(F.shiftright("spot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(spot & 63 as int)))").alias("mask")).toPandas()
+    words = spots.groupBy(F.shiftright("spot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(spot & 63 as int)))").alias("mask")).toArrow()
     out = np.zeros(1 << (bits - 6), np.uint64)
-    out[words["word"].to_numpy()] = words["mask"].to_numpy().astype(np.int64).view(np.uint64)
+    out[words["word"].to_numpy()] = words["mask"].to_numpy().view(np.uint64)
     return out, bits
 
 
