@@ -37,7 +37,7 @@ FOREIGN_CITIES = {
     "manila": "PH", "jakarta": "ID", "ho chi minh city": "VN", "taipei": "TW", "hong kong": "HK", "kuala lumpur": "MY", "dubai": "AE", "amsterdam": "NL", "dusseldorf": "DE", "glasgow": "GB", "manchester": "GB",
 }
 STATES = "AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY DC".split()
-CITY_NICKNAMES = {"nyc": "new york", "la": "los angeles", "sf": "san francisco", "vegas": "las vegas", "philly": "philadelphia", "dc": "washington", "chi": "chicago"}
+CITY_NICKNAMES = {"nyc": "new york", "la": "los angeles", "sf": "san francisco", "dc": "washington", "nola": "new orleans", "vegas": "las vegas", "philly": "philadelphia"}
 
 
 def r4(x: Column) -> Column:

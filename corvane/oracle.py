@@ -486,3 +486,13 @@ SQL["r06_stream_disappearances"] = with_(
     "sc AS (SELECT DISTINCT user_id, ts FROM events)", "n AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS r FROM sc)", "o AS (SELECT DISTINCT e.user_id, e.event_type, e.ts, n.r FROM events e JOIN n ON n.user_id = e.user_id AND n.ts = e.ts)",
     "m AS (SELECT user_id, max(r) AS last FROM n GROUP BY 1)", "g AS (SELECT o.*, coalesce(lead(r) OVER (PARTITION BY o.user_id, event_type ORDER BY r), m.last + 1) - r - 1 AS gap FROM o JOIN m ON m.user_id = o.user_id)",
 ) + "SELECT 'E' || g.user_id || '-' || event_type AS listing_id, g.ts AS last_seen, n.ts AS missed_at FROM g JOIN n ON n.user_id = g.user_id AND n.r = g.r + 1 WHERE gap >= 2"
+
+# collection runs
+
+SQL["p07_urgent"] = with_(L, EVENTS) + "SELECT event_id, event_datetime FROM ev WHERE event_datetime < TIMESTAMP '1998-03-15'"
+SQL["p09_aliases"] = with_(L, "x AS (SELECT CASE WHEN quantity = 2 THEN 'Drake' ELSE artist_or_team END AS artist, quantity = 3 AS is_festival FROM listings)") + "SELECT artist, is_festival, count(*) AS n FROM x GROUP BY ALL"
+SQL["s34_ingest_counts"] = with_(L, "floored AS (SELECT * REPLACE (floor(listing_price) + 0.0 AS listing_price) FROM listings)", f"hashed AS (SELECT *, {HASH} AS hash, timestamp > TIMESTAMP '2000-01-01' OR listing_price <= 0 AS bad FROM floored)", "c AS (SELECT count(*) AS fetched, count(*) FILTER (bad) AS errors, count(DISTINCT hash) FILTER (NOT bad AND hash NOT IN (SELECT hash FROM hashed WHERE is_train)) AS saved FROM hashed WHERE NOT is_train)") + "SELECT fetched, saved, fetched - errors - saved AS skipped, errors FROM c"
+SQL["s35_pending"] = "SELECT DISTINCT p_brand AS artist FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size = 7)"
+SQL["k04_temporal_folds"] = with_(L, "p AS (SELECT *, CASE WHEN r <= fold * z THEN 'train' WHEN r <= fold * z + z THEN 'val' END AS part FROM (SELECT timestamp, r, z, fold FROM (SELECT timestamp, row_number() OVER (ORDER BY timestamp, listing_id) AS r, count(*) OVER () // 4 AS z FROM listings), (SELECT CAST(unnest([1, 2, 3]) AS INTEGER) AS fold)))") + "SELECT fold, part, count(*) AS n, min(timestamp) AS first_at, max(timestamp) AS last_at FROM p WHERE part IS NOT NULL GROUP BY fold, part"
+SQL["q02_snapshot_pipeline"] = with_(SNAPSHOTS_SQL) + "SELECT seq % 23 <> 0 AS zone_known, price_min <= coalesce(price_avg, price_min) AND coalesce(price_avg, price_max, price_min) <= coalesce(price_max, price_avg, price_min) AS price_ordered, count(*) AS n FROM snapshots GROUP BY ALL"
+SQL["w01_prefix_counts"] = "WITH RECURSIVE one AS (" + SQL["x08_within_event"] + ") SELECT we_history_support, count(*) AS n, max(we_pos_in_sequence) AS furthest FROM one GROUP BY 1"

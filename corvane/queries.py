@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.functions import scalars as S
-from corvane.operators import cleaning, evaluate, features, joins, labels, popularity, serve, splits
+from corvane.operators import cleaning, collect, evaluate, features, joins, labels, popularity, serve, splits
 from corvane.operators.stats import adjusted_skewness, price_stats, smooth
 from corvane.plans.canonical import listings, snapshots, table
 from corvane.sources import payloads, store, synthetic
@@ -770,3 +770,53 @@ def r06_stream_disappearances(spark, sf_dir):
     rows = _event_stream(spark, sf_dir).select("event_id", F.concat_ws("-", "event_id", "seat_zone").alias("listing_id"), "timestamp")
     out = _drained(spark, jobs.disappearances(rows), "gone")
     return out.select("listing_id", F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), F.col("missed_at").cast("timestamp_ntz").alias("missed_at"))
+
+
+# collection runs
+
+
+@query
+def p07_urgent(spark, sf_dir):
+    return collect.urgent(store.events(listings(spark, sf_dir)), F.expr("timestamp_ntz'1998-03-01 00:00:00'")).select("event_id", "event_datetime")
+
+
+@query
+def p09_aliases(spark, sf_dir):
+    rows = listings(spark, sf_dir).select(F.when(F.col("quantity") == 2, "Drake - Hip Hop").otherwise(F.col("artist_or_team")).alias("artist"), F.concat("city", F.when(F.col("quantity") == 3, F.lit(" Music Fest")).otherwise(F.lit(""))).alias("name"))
+    return rows.groupBy(collect.canonical_artist(F.col("artist")).alias("artist"), collect.is_festival(F.col("name")).alias("is_festival")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def u04_greedy_dedup(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").where("p_partkey < 400").select(F.col("p_partkey").alias("seq"), F.concat(F.lit("i"), F.col("p_partkey") % 90).alias("id"), F.col("p_type").alias("venue"), F.expr("timestamp_ntz'2025-01-01 20:00:00' + make_dt_interval(p_size % 11)").alias("event_datetime"), F.col("p_brand").alias("batch"))
+    return collect.first_of_both(rows, ["seq"], "batch").select("seq", "id")
+
+
+@query
+def s34_ingest_counts(spark, sf_dir):
+    rows = listings(spark, sf_dir).withColumn("listing_price", F.floor("listing_price") + 0.0)
+    return collect.ingested(rows.where("not is_train"), rows.where("is_train"), F.expr(NOW))[1]
+
+
+@query
+def s35_pending(spark, sf_dir):
+    tasks = listings(spark, sf_dir).select(F.col("artist_or_team").alias("artist")).distinct()
+    trail = table(spark, sf_dir, "part").select(F.col("p_brand").alias("artist"), F.when(F.col("p_size") == 7, "ok").otherwise("failed").alias("status"))
+    return collect.pending(tasks, trail)
+
+
+@query
+def k04_temporal_folds(spark, sf_dir):
+    out = collect.temporal_folds(listings(spark, sf_dir).select("listing_id", "timestamp"), ["timestamp", "listing_id"], 3)
+    return out.groupBy("fold", "part").agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first_at"), F.max("timestamp").alias("last_at"))
+
+
+@query
+def q02_snapshot_pipeline(spark, sf_dir):
+    rows = snapshots(spark, sf_dir).withColumn("seat_zone", F.when(F.col("seq") % 23 == 0, "roof").otherwise(F.col("seat_zone")))
+    return collect.snapshot_pipeline().process(rows).data.groupBy("zone_known", "price_ordered").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def w01_prefix_counts(spark, sf_dir):
+    return _extracted(features.WithinEvent, spark, sf_dir).groupBy("we_history_support").agg(F.count(F.lit(1)).alias("n"), F.max("we_pos_in_sequence").alias("furthest"))
