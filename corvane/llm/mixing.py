@@ -4,7 +4,7 @@ Documents are aggregated by membership pattern (the set of sources that they bel
 the patterns to the quotas of the sources; taking a document again costs more each time (convex), so words are
 repeated only where a quota can't be met otherwise. The flow of a pattern becomes copies: every document whole times,
 and a seeded choice of documents once more. The choice is a prefix of the hash order, found by sums over buckets of
-the hash, and an exact subset sum over the few documents behind the prefix closes what is left of the quota.
+the hash, and an exact subset sum over the few documents around its end closes what is left of the quota.
 
 Cases: null text has no words; a null source is a source of its own, last in order; documents without words are taken 0
 words; repeated rows are taken each for itself; an empty table gives an empty result. Reruns agree: the order is
@@ -106,13 +106,16 @@ def fill(sizes: list[int], room: int) -> list[bool]:
 
 
 def _choose(rows: pd.DataFrame, tail: int) -> pd.DataFrame:
-    """One pattern's documents at the end of its prefix: in order while they fit, then a subset of the next `tail`."""
+    """One pattern's documents at the end of its prefix: in order while they fit, then a subset of the `tail` behind and half as many before."""
     rows = rows.sort_values(["h", "row_key"], kind="stable")
     room, sizes = int(rows["room"].iloc[0]), [int(x) for x in rows["size"]]
     take = [False] * len(sizes)
     at = 0
     while at < len(sizes) and sizes[at] <= room:
         take[at], room, at = True, room - sizes[at], at + 1
+    back = min(tail // 2, at)  # the last documents of the prefix are open again
+    at, room = at - back, room + sum(sizes[at - back : at])
+    tail += back
     for i, t in enumerate(fill(sizes[at : at + tail], min(room, sum(sizes[at : at + tail])))):
         take[at + i] = t
     return rows.assign(extra=take)
@@ -141,6 +144,7 @@ def mix(docs: DataFrame, members: F.Column, weight_of, seed: int = 29, total: fl
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     sums = rows.groupBy("pattern", "bucket").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")).join(quota, "pattern")
     sums = sums.withColumn("upto", F.sum("words").over(upto)).withColumn("inside", F.col("upto") <= F.col("room"))
+    sums = sums.withColumn("inside", F.col("inside") & F.coalesce(F.lead("inside").over(order), F.lit(False)))  # the last bucket that fits is open too
     sums = sums.withColumn("behind", F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).over(upto) - F.when(F.col("inside"), 0).otherwise(F.col("n")))
     sums = sums.withColumn("left", F.col("room") - F.max(F.when(F.col("inside"), F.col("upto")).otherwise(0)).over(Window.partitionBy("pattern")))
     state = F.when(F.col("inside"), "in").when((F.col("behind") < zone_rows) & (F.col("left") > 0), "end").otherwise("out")
