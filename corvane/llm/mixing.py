@@ -121,7 +121,7 @@ def _choose(rows: pd.DataFrame, tail: int) -> pd.DataFrame:
     return rows.assign(extra=take)
 
 
-def mix(docs: DataFrame, members: F.Column, weight_of, seed: int = 29, total: float | None = None, per_bucket: int = 256, tail: int = 48, zone_rows: int = 4096) -> tuple[DataFrame, dict]:
+def mix(docs: DataFrame, members: F.Column, weight_of, seed: int = 29, total: float | None = None, per_bucket: int = 256, tail: int = 48, zone_rows: int = 512) -> tuple[DataFrame, dict]:
     """(doc_id, row_key, pattern, size, times), and the plan on the driver: sizes, targets and flows by source.
 
     members: an array of the keys of the sources that a document belongs to. weight_of: sorted keys to weights.
