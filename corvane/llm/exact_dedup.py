@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import KEY, SPACE, chosen, row_key, stored, text_or_empty
+from corvane.llm.common import KEY, SPACE, chosen, row_key, ship, stored, text_or_empty
 
 RUN_SCHEMA = "run long, seq long, digest binary, min_id long, n long, ids array<long>"
 _ARROW_RUN = pa.schema([("run", pa.int64()), ("seq", pa.int64()), ("digest", pa.binary()), ("min_id", pa.int64()), ("n", pa.int64()), ("ids", pa.list_(pa.int64()))])
@@ -69,6 +69,7 @@ def flush_runs(batches, memtable_rows: int, entry_ids: int):
 
 def write_runs(docs: DataFrame, memtable_rows: int = 50_000, entry_ids: int = 4096) -> DataFrame:
     """Level 0: the runs of all memtables, in the shared folder."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of(normalised()).alias("digest"))
     return stored(rows.mapInArrow(lambda it: flush_runs(it, memtable_rows, entry_ids), RUN_SCHEMA), "dedup-runs")
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import KEY, WORD, bucket_bits, row_key, seeded_hash, source_key, stored, top_bits
+from corvane.llm.common import KEY, WORD, bucket_bits, row_key, seeded_hash, ship, source_key, stored, top_bits
 
 MOST_TIMES = 3
 
@@ -127,6 +127,7 @@ def mix(docs: DataFrame, members: F.Column, weight_of, seed: int = 29, total: fl
     members: an array of the keys of the sources that a document belongs to. weight_of: sorted keys to weights.
     The driver holds a row per membership pattern, never a row per document.
     """
+    ship(docs.sparkSession)
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
     rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.array_sort(F.array_distinct(members)).alias("members"), row_key().alias("row_key")).withColumn("pattern", F.to_json("members")).withColumn("h", seeded_hash(seed, "doc_id")), "mix-rows")
     found = rows.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).orderBy("pattern").collect()

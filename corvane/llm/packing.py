@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.bpe import ByteBpe, coded, pre_tokens, slices
-from corvane.llm.common import source_key, stored, text_or_empty
+from corvane.llm.common import ship, source_key, stored, text_or_empty
 
 STRETCH = 600_000
 
@@ -145,6 +145,7 @@ class Layout:
 
 def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """src, part, at (tokens of the source before it in the task), doc_id, n, ids: in the shared folder."""
+    ship(docs.sparkSession)
     bpe = ByteBpe.load(path)
     shared = docs.sparkSession.sparkContext.broadcast(bpe)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source_key().alias("src"), pre_tokens(text_or_empty(), list(bpe.specials)).alias("words"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import text_or_empty
+from corvane.llm.common import ship, text_or_empty
 
 PAD = 256
 STRETCH = 4_000_000
@@ -149,6 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, **how) -> Byte
 def quality_score(spark, net: ByteNet | None, text: Column) -> Column:
     if net is None:
         return F.lit(0.5)
+    ship(spark)
     shared = spark.sparkContext.broadcast(net)
 
     @F.arrow_udf("double")

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import stored, text_or_empty
+from corvane.llm.common import ship, stored, text_or_empty
 from corvane.llm.exact_dedup import hit_filter, maybe_hit
 
 REACH = 16
@@ -64,6 +64,7 @@ def chunk_ends(offsets: np.ndarray, data: np.ndarray, mean: int, max_chunk: int)
 
 def chunks(docs: DataFrame, mean: int = 32, max_chunk: int = 512) -> DataFrame:
     """digest, rid, doc_id, at, size of every chunk: in the shared folder. rid numbers the rows."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"))
 
     def run(batches):

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.bpe import ByteBpe, coded, pre_tokens, slices
-from corvane.llm.common import text_or_empty
+from corvane.llm.common import ship, text_or_empty
 
 STRETCH = 1_000_000
 
@@ -31,6 +31,7 @@ def count_lists(bpe: ByteBpe, lists: pa.ListArray) -> np.ndarray:
 
 
 def token_count(spark, path: str, text: Column) -> Column:
+    ship(spark)
     bpe = ByteBpe.load(path)
     shared = spark.sparkContext.broadcast(bpe)
 
