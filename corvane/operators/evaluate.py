@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corvane.operators.stats import side_by_side
+
 
 def regression(df: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
     """One row: n, mae, rmse, r2, mape (of actual values other than 0)."""
@@ -47,7 +49,7 @@ def classification(df: DataFrame, label: str = "label", score: str = "score", th
     area = per.withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0))).agg(F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2)).alias("area"), F.sum("pos").alias("p"), F.sum("neg").alias("q"))
     hit, said, true = (F.col(score) >= threshold) & (F.col(label) == 1), F.col(score) >= threshold, F.col(label) == 1
     counts = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("tp"), F.count_if(said).alias("said"), F.count_if(true).alias("true"))
-    both = area.join(counts)
+    both = side_by_side(area, counts)
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     both = both.withColumn("precision", ratio("tp", "said")).withColumn("recall", ratio("tp", "true"))
     p, r = F.col("precision"), F.col("recall")

@@ -37,6 +37,12 @@ def lookup(df: DataFrame, stats: DataFrame, keys: list[str], prefix: str) -> Dat
     return df.join(prefixed(stats, prefix, keys), keys, "left")
 
 
+def side_by_side(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two tables of one row as one row, without a join."""
+    both = a.unionByName(b, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
+
+
 def global_stats(df: DataFrame, price: str = "listing_price") -> dict:
     p = F.col(price)
     row = df.agg(F.avg(p).alias("mean"), F.median(p).alias("median"), F.stddev_samp(p).alias("std"), F.percentile(p, 0.75).alias("q75"), F.percentile(p, 0.25).alias("q25"), adjusted_skewness(p).alias("skew"), F.avg((p > 200).cast("double")).alias("premium"), F.count(p).alias("n")).collect()[0]
