@@ -5,8 +5,8 @@ overlap by width - 1 bytes, so every window lies in exactly one. Each filter is
 and the mean of the pooled values over the chunks give one probability. A filter is a table of 256 bytes by place, so a
 window costs `width` look-ups.
 
-The network is fitted on the driver from at most `sample` labelled documents, chosen by a hash of their identifier (a
-documented bound; every document is scored, over its whole text). Inputs are the bytes of the text alone.
+The network is fitted on the driver from at most `sample` labelled documents of at most `most_bytes` together, chosen by
+a hash of their identifier (documented bounds; every document is scored, over its whole text). Inputs are the bytes of the text alone.
 
 Cases: null text counts as empty and scores as what the network makes of no windows; without labelled rows every score
 is 0.5; a null identifier counts as held out; repeated rows score alike; an empty table gives an empty result.
@@ -136,13 +136,22 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, **how) -> ByteNet | None:
-    """Fit on at most `sample` labelled documents that aren't held out, a choice by hash that depends on nothing else."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, most_bytes: int = 32_000_000, **how) -> ByteNet | None:
+    """Fit on at most `sample` labelled documents that aren't held out and hold at most `most_bytes`; they are taken in the order of a hash of their identifier, which depends on nothing else."""
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("quality").alias("_label"))
     known = known.where(~held_out("_id")).withColumn("_order", F.xxhash64(F.lit(11), "_id")).orderBy("_order", "_id").limit(sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), text_or_empty().cast("binary").alias("_bytes")).join(F.broadcast(known), "_id").select("_id", "_bytes", "_label").orderBy("_id", "_bytes").collect()
-    if not rows:
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), text_or_empty().cast("binary").alias("_bytes"))
+    sizes = texts.select("_id", F.octet_length("_bytes").alias("_size")).join(F.broadcast(known), "_id").groupBy("_id", "_label", "_order").agg(F.sum("_size").alias("_size")).orderBy("_order", "_id").collect()
+    chosen, held = [], 0
+    for r in sizes:
+        held += r["_size"]
+        if held > most_bytes and chosen:
+            break
+        chosen.append((r["_id"], r["_label"]))
+    if not chosen:
         return None
+    own = docs.sparkSession.createDataFrame(chosen, "_id long, _label int")
+    rows = texts.join(F.broadcast(own), "_id").orderBy("_id", "_bytes").collect()
     return fit([bytes(r["_bytes"]) for r in rows], [int(r["_label"]) for r in rows], **how)
 
 

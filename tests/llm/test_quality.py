@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from corvane.llm.quality import ByteNet, classify, fit, joined
+from corvane.llm.quality import ByteNet, classify, fit, joined, train
 from tests.llm.test_rows import edge_docs
 
 
@@ -53,3 +53,5 @@ def test_query_edges(spark):
     assert sorted(got.score) == sorted(again.score)
     assert classify(docs, labels.limit(0)).select("score").distinct().collect()[0][0] == 0.5
     assert classify(docs.limit(0), labels).count() == 0
+    short = train(docs, labels, most_bytes=1, epochs=1, least_steps=1)
+    assert short is not None  # one document at least
