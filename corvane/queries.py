@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.functions import scalars as S
 from corvane.operators import cleaning, collect, evaluate, features, joins, labels, popularity, serve, splits
-from corvane.operators.stats import adjusted_skewness, price_stats, smooth
+from corvane.operators.stats import adjusted_skewness, price_stats
 from corvane.plans.canonical import listings, snapshots, table
 from corvane.sources import payloads, store, synthetic
 
@@ -581,7 +580,7 @@ def g01_targets(spark, sf_dir):
 
 def _predicted(spark, sf_dir) -> DataFrame:
     rows = listings(spark, sf_dir)
-    by = price_stats(rows.where("is_train and l" + "isting_price < 900"), ["event_id"]).select("event_id", F.col("median").alias("predicted"))
+    by = price_stats(rows.where("is_train and listing_price < 900"), ["event_id"]).select("event_id", F.col("median").alias("predicted"))
     return cleaning.zoned(rows.where("not is_train")).join(by, "event_id", "left").withColumn("predicted", F.coalesce("predicted", F.lit(500.0))).withColumnRenamed("listing_price", "actual")
 
 
@@ -680,8 +679,6 @@ def q03_quality_rates(spark, sf_dir):
     return rows.agg(n.alias("n"), S.r4(F.count_if("is_outlier") / n).alias("outlier_rate"), S.r4(1 - F.count("face_value") / n).alias("null_rate"))
 
 
-__all__ = ["queries", "oracle_sql", "flagship", "smooth", "W"]
-
 
 # models: no SQL says the same, rows only
 
