@@ -410,7 +410,7 @@ class Popularity(Extractor):
 
 
 class ListingContext(Extractor):
-    names = ["source_encoded", "quantity_filled", "is_single", "is_pair"]
+    names = ["source_encoded", "quantity_filled", "is_single_ticket", "is_pair"]
 
     def transform(self, df, is_train=False):
         q = F.coalesce(col_or(df, "quantity", 1), F.lit(1))
@@ -503,3 +503,11 @@ class FeaturePipeline:
 
     def transform(self, df: DataFrame, is_train: bool = False) -> DataFrame:
         return self._run(self._run(df, "base", is_train), "post", is_train)
+
+    def matrix(self, df: DataFrame, key: str = "listing_id", is_train: bool = False) -> DataFrame:
+        """The key and the features alone, in order, under their public names."""
+        return self.transform(df, is_train).select(key, *[F.col(n).alias(PUBLIC.get(n, n)) for n in self.names])
+
+
+#: Features that share a name with the raw column that they fill in.
+PUBLIC = {"days_to_event_filled": "days_to_event", "quantity_filled": "quantity"}

@@ -393,7 +393,7 @@ SQL["x13_popularity"] = feature_sql(
     {"popularity_score": "coalesce(score, 0.0)", "popularity_tier_encoded": "CASE tier WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END", **{f"{c}_log": f"CASE WHEN {c} > 0 THEN log10(CAST({c} AS DOUBLE)) ELSE 0.0 END" for c in ("youtube_subscribers", "youtube_views", "lastfm_listeners", "lastfm_play_count")}, "popularity_data_available": "CASE WHEN score IS NULL THEN 0 ELSE 1 END"},
     SCORED, source=f"listings r LEFT JOIN scored ON {folded('scored.artist')} = {folded('r.artist_or_team')}", rounded=("popularity_score", "youtube_subscribers_log", "youtube_views_log", "lastfm_listeners_log", "lastfm_play_count_log"),
 )
-SQL["x14_listing_context"] = listing_sql("listing_id, CASE WHEN source = 'stubhub' THEN 1 ELSE 0 END AS source_encoded, quantity AS quantity_filled, CASE WHEN quantity = 1 THEN 1 ELSE 0 END AS is_single, CASE WHEN quantity = 2 THEN 1 ELSE 0 END AS is_pair")
+SQL["x14_listing_context"] = listing_sql("listing_id, CASE WHEN source = 'stubhub' THEN 1 ELSE 0 END AS source_encoded, quantity AS quantity_filled, CASE WHEN quantity = 1 THEN 1 ELSE 0 END AS is_single_ticket, CASE WHEN quantity = 2 THEN 1 ELSE 0 END AS is_pair")
 V_KEY = folded("venue_name")
 VENUE = f"v AS (SELECT {V_KEY} AS k, {smooth('count(*)', 'avg(listing_price)', 75, 'any_value(g.mean)')} AS mean, {smooth('count(*)', 'median(listing_price)', 75, 'any_value(g.median)')} AS median, {smooth('count(*)', 'coalesce(stddev_samp(listing_price), any_value(g.std))', 75, 'any_value(g.std)')} AS std FROM train, g GROUP BY 1)"
 SQL["x15_venue"] = feature_sql({"venue_avg_price": "coalesce(v.mean, g.mean)", "venue_median_price": "coalesce(v.median, g.median)", "venue_price_std": "coalesce(v.std, g.std)", "is_known_venue": "CASE WHEN v.mean IS NULL THEN 0.0 ELSE 1.0 END"}, VENUE, source=f"listings r LEFT JOIN v ON v.k = {folded('r.venue_name')}, g")

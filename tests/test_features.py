@@ -92,6 +92,8 @@ def test_pipeline_names_and_nulls(spark):
     made = FeaturePipeline(("snapshot",)).fit(train)
     out = made.transform(train, True)
     assert len(made.names) == 97 and out.count() == 30
+    matrix = made.matrix(train)
+    assert len(set(matrix.columns)) == 98 and {"days_to_event", "quantity", "is_single_ticket"} <= set(matrix.columns)
     row = out.agg(*[F.count_if(F.col(n).isNull()).alias(n) for n in made.names if n not in ("artist_zone_median_price",)]).collect()[0]
     assert not {k: v for k, v in row.asDict().items() if v}
 
