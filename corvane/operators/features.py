@@ -478,6 +478,7 @@ class FeaturePipeline:
             chosen["popularity"] = Popularity(counts)
         if momentum:
             chosen["momentum"] = Momentum()
+        self._kept: list[DataFrame] = []
         self.extractors = dict(sorted(chosen.items(), key=lambda x: x[1].stage == "post"))
 
     @property
@@ -485,9 +486,14 @@ class FeaturePipeline:
         return [n for e in self.extractors.values() for n in e.names]
 
     def fit(self, df: DataFrame) -> FeaturePipeline:
+        shared = None
         for e in self.extractors.values():
             if e.stage == "base":
-                e.fit(df)
+                if type(e) is RelativePricing and shared is not None and shared.m == e.m:
+                    e.__dict__.update(shared.__dict__)  # the same tables
+                else:
+                    self._keep(e.fit(df))
+                shared = e if type(e) is EventPricing else shared
         base = df
         for e in self.extractors.values():
             if e.stage == "post":
@@ -495,6 +501,18 @@ class FeaturePipeline:
                 e.fit(base)
         return self
 
+    def _keep(self, e: Extractor) -> None:
+        """Statistics are read by every split, so they are computed once; `release` lets them go."""
+        for name, value in vars(e).items():
+            if isinstance(value, DataFrame) and name not in ("counts", "history"):
+                self._kept.append(value.persist())
+            elif isinstance(value, dict):
+                self._kept += [v.persist() for v in value.values() if isinstance(v, DataFrame)]
+
+    def release(self) -> None:
+        while self._kept:
+            self._kept.pop().unpersist()
+
     def _run(self, df: DataFrame, stage: str, is_train: bool) -> DataFrame:
         for e in self.extractors.values():
             if e.stage == stage:
