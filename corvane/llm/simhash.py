@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import KEY, chosen, row_key, stored, text_or_empty
+from corvane.llm.common import KEY, chosen, row_key, ship, stored, text_or_empty
 from corvane.llm.components import components
 
 LANES = 128
@@ -74,6 +74,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def fingerprinted(docs: DataFrame, words: int = 3, sketch_words: int = 0) -> DataFrame:
     """doc_id, fp (signed), sketch, row_key, node: in the shared folder."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"), row_key().alias("row_key"))
 
     def run(batches):
@@ -212,7 +213,8 @@ def near_components(docs: DataFrame, words: int = 3, radius: int = 3, sketch_wor
     points = stored(points, "simhash-points")
     linked = components(near_links(points.select("fp", "sketch", "node"), radius, min_similarity, **tiling))
     labelled = points.select("node", "rep").join(linked, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
-    named = labelled.groupBy("label").agg(F.min("rep").alias("rep"))
+    labelled = stored(labelled, "simhash-labels")
+    named = stored(labelled.groupBy("label").agg(F.min("rep").alias("rep")), "simhash-names")  # stored, so a large component's rows can be split in the join
     names = labelled.select("node", "label").join(named, "label").select("node", F.col("rep.doc_id").alias("component_id"), F.col("rep.row_key").alias("rep_key"))
     return rows.join(names, "node").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", (F.col("row_key") == F.col("rep_key")).alias("represents"), "row_key")
 
