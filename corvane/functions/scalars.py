@@ -170,11 +170,9 @@ def city_name(city: Column) -> Column:
 
 
 def country(city: Column) -> Column:
-    c = city_name(city)
-    out = None
-    for place, code in FOREIGN_CITIES.items():
-        out = F.when(c == place, code) if out is None else out.when(c == place, code)
-    return out.otherwise("US")
+    """One look-up, so the city is folded once per row."""
+    table = F.create_map(*[F.lit(x) for kv in FOREIGN_CITIES.items() for x in kv])
+    return F.coalesce(table[city_name(city)], F.lit("US"))
 
 
 def region_key(city: Column) -> Column:
