@@ -3,7 +3,8 @@
 A gear hash rolls over the bytes of a text (the last 16 count); a chunk ends where the hash falls below a threshold, so
 an insertion moves only the chunks that it touches. Chunks are deduplicated by digest and length: of a chunk that more
 than one document has, the occurrence in the first document (in the order of the stored table) stays. Neighbouring
-repeated chunks of a document make a passage; passages under `min_bytes` are left alone.
+repeated chunks of a document make a run, runs under `min_bytes` are left alone, and the others are cut into passages of
+chunks that stay here and of chunks that stay elsewhere.
 
 A digest's occurrences are reduced to two numbers before the shuffle, and only chunks that pass a bloom filter of the
 repeated digests (8 MB at most) are shuffled again, so common lines don't gather in one task. Text in which no chunk
@@ -97,8 +98,9 @@ def chunks(docs: DataFrame, mean: int = 32, max_chunk: int = 512) -> DataFrame:
 def repeated_passages(docs: DataFrame, mean: int = 32, max_chunk: int = 512, min_bytes: int = 112) -> DataFrame:
     """doc_id, start, end, n_bytes, n_chunks, kept: one row per passage that another document has too.
 
-    start and end count bytes of the UTF-8 text; kept: the passage stays here, at least in part, since this document is
-    the first to have its chunks. Text to remove is what the rows with kept = false cover.
+    start and end count bytes of the UTF-8 text; kept: the passage stays here, since this document is the first to have
+    its chunks. A run of neighbouring repeated chunks is cut into passages where that changes, and `min_bytes` is the
+    least length of a run. Text to remove is what the rows with kept = false cover, all of it.
     """
     made = chunks(docs, mean, max_chunk)
     seen = made.groupBy("digest", "size").agg(F.min("rid").alias("first"), F.max("rid").alias("last")).where("first <> last").select("digest", "size", "first")
@@ -109,7 +111,10 @@ def repeated_passages(docs: DataFrame, mean: int = 32, max_chunk: int = 512, min
         some = made.where(maybe_hit(docs.sparkSession, *hit_filter(seen.select("digest"), n))(F.col("digest")))
     found = some.join(seen, ["digest", "size"]).select("rid", "doc_id", "at", "size", (F.col("rid") == F.col("first")).alias("own"))
     order = Window.partitionBy("rid").orderBy("at")
-    found = found.withColumn("new", (F.col("at") != F.lag(F.col("at") + F.col("size"), 1, -1).over(order)).cast("int"))
-    found = found.withColumn("passage", F.sum("new").over(order))
-    passages = found.groupBy("rid", "passage").agg(F.first("doc_id").alias("doc_id"), F.min("at").alias("start"), F.max(F.col("at") + F.col("size")).alias("end"), F.count(F.lit(1)).alias("n_chunks"), F.max("own").alias("kept"))
-    return passages.where(F.col("end") - F.col("start") >= min_bytes).select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), (F.col("end") - F.col("start")).cast("long").alias("n_bytes"), "n_chunks", "kept")
+    found = found.withColumn("new", F.col("at") != F.lag(F.col("at") + F.col("size"), 1, -1).over(order))
+    found = found.withColumn("turn", F.col("new") | (F.col("own") != F.lag("own").over(order)))
+    found = found.withColumn("run", F.sum(F.col("new").cast("int")).over(order)).withColumn("passage", F.sum(F.col("turn").cast("int")).over(order))
+    passages = found.groupBy("rid", "run", "passage").agg(F.first("doc_id").alias("doc_id"), F.min("at").alias("start"), F.max(F.col("at") + F.col("size")).alias("end"), F.count(F.lit(1)).alias("n_chunks"), F.first("own").alias("kept"))
+    run = Window.partitionBy("rid", "run")
+    passages = passages.withColumn("run_bytes", F.max("end").over(run) - F.min("start").over(run)).where(F.col("run_bytes") >= min_bytes)
+    return passages.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), (F.col("end") - F.col("start")).cast("long").alias("n_bytes"), "n_chunks", "kept")

@@ -66,3 +66,21 @@ def test_edges(spark):
     same = repeated_passages(edge_docs(spark, [(1, text, "s"), (1, text, "s"), (None, text, None), (4, text + text, "s"), (5, None, None)])).collect()
     assert sorted((str(r.doc_id), r.start) for r in same if r.start == 0) == [("1", 0), ("1", 0), ("4", 0), ("None", 0)]
     assert repeated_passages(edge_docs(spark, [])).count() == 0
+
+
+def test_removals_beside_text_first_seen_here(spark):
+    pick = random.Random(9)
+    a, b, c, d, e, f, g, h, x = (words(pick, 40) + " " for _ in range(9))
+    texts = [a + b + c + d + e + f + g + h, a + b + c + x + e + f + g + h, a + b + c + x + e + f + g + h]
+    first, spans = {}, []
+    for i, t in enumerate(texts):
+        ends = chunk_ends(np.array([0, len(t)]), np.frombuffer(t.encode(), np.uint8), 32, 512).tolist()
+        spans.append(list(zip([0, *ends[:-1]], ends, strict=True)))
+        for s, z in spans[i]:
+            first.setdefault(t[s:z], i)
+    want = {i: {k for s, z in spans[i] if first[t[s:z]] < i for k in range(s, z)} for i, t in enumerate(texts)}
+    assert len(want[1]) > 0.9 * len(a + b + c + e + f + g + h) and len(want[2]) == len(texts[2])
+    got = defaultdict(set)
+    for r in repeated_passages(edge_docs(spark, [(i, t, "s") for i, t in enumerate(texts)])).where("not kept").collect():
+        got[r.doc_id] |= set(range(r.start, r.end))
+    assert not got[0] and got[1] == want[1] and got[2] == want[2]
