@@ -1,8 +1,8 @@
 """A training corpus from `documents`: five stages, each one operator, each over all that the stage before kept.
 
 quality: documents that the classifier rejects go. exact_dedup: one document of each group of equal texts stays.
-near_dedup: one document of each group of near copies stays; a wide SimHash radius finds the candidates and an estimated
-Jaccard similarity of five-word shingles of 0.8, less the sketch's error of 0.05, confirms them. mixing: documents are
+near_dedup: one document of each group of near copies stays; a wide SimHash radius and an estimated Jaccard similarity of
+0.65 find the candidates, and the Jaccard similarity of their sets of five-word shingles, 0.8 at least, confirms them. mixing: documents are
 dropped or repeated until each source has its share. packing: sequences of 2,048 tokens.
 """
 
@@ -29,7 +29,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_representatives(docs, near_components(docs, words=3, radius=12, sketch_words=5, min_similarity=0.75))
+    return keep_representatives(docs, near_components(docs, words=5, radius=20, sketch_words=5, min_similarity=0.65, least_jaccard=0.8))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,10 @@ With `min_similarity` a link also needs that estimated Jaccard similarity of fiv
 minima of one byte each that travels with the fingerprint. A wide radius then finds copies that differ by more than a
 few words, and the sketch keeps unrelated texts apart.
 
+With `least_jaccard` these links are candidates, and each is confirmed by the Jaccard similarity of the whole shingle
+sets (of 64-bit hashes). Two passes do it: the first confirms a spanning forest of the likeliest candidates, the second
+all candidates between the components that this makes. So every candidate is confirmed, refuted or inside a component.
+
 The comparison is exact, so its cost grows with the square of the distinct fingerprints that the counts let through.
 The driver holds one row per tile (1,024 at most), never fingerprints.
 
@@ -72,22 +76,35 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(some, ((a == b) & (a != 0)).sum(axis=1) / np.maximum(some, 1), 1.0)
 
 
-def fingerprinted(docs: DataFrame, words: int = 3, sketch_words: int = 0) -> DataFrame:
-    """doc_id, fp (signed), sketch, row_key, node: in the shared folder."""
+def set_key(hashes: np.ndarray) -> int:
+    """One number for a set of shingles."""
+    return xxhash.xxh64_intdigest(np.unique(hashes).tobytes())
+
+
+def fingerprinted(docs: DataFrame, words: int = 3, sketch_words: int = 0, by_set: bool = False) -> DataFrame:
+    """doc_id, fp (signed), sketch, row_key, node: in the shared folder. by_set: nodes are the sets of shingles."""
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"), row_key().alias("row_key"))
 
     def run(batches):
         for batch in batches:
             texts = batch.column(1)
-            prints, sketches = np.zeros(len(texts), np.uint64), []
+            prints, sketches, keys = np.zeros(len(texts), np.uint64), [], np.zeros(len(texts) if by_set else 0, np.uint64)
             for i, text in enumerate(texts):
                 raw = text.as_py()
-                prints[i] = simhash(shingle_hashes(raw, words))
-                sketches.append(sketch(shingle_hashes(raw, sketch_words)) if sketch_words else b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), pa.array(sketches, pa.binary()), batch.column(2)], names=["doc_id", "fp", "sketch", "row_key"])
-
-    made = rows.mapInArrow(run, "doc_id long, fp long, sketch binary, row_key string")
+                hashes = shingle_hashes(raw, words)
+                prints[i] = simhash(hashes)
+                if sketch_words and sketch_words != words:
+                    hashes = shingle_hashes(raw, sketch_words)
+                sketches.append(sketch(hashes) if sketch_words else b"")
+                if by_set:
+                    keys[i] = set_key(hashes)
+            columns = [batch.column(0), pa.array(prints.view(np.int64)), pa.array(sketches, pa.binary()), batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(keys.view(np.int64))] if by_set else [])], names=["doc_id", "fp", "sketch", "row_key", *(["node"] if by_set else [])])
+
+    made = rows.mapInArrow(run, "doc_id long, fp long, sketch binary, row_key string" + ", node long" * by_set)
+    if by_set:
+        return stored(made, "simhash-rows")
     return stored(made.withColumn("node", F.xxhash64("fp", "sketch") if sketch_words else F.col("fp")), "simhash-rows")
 
 
@@ -161,8 +178,76 @@ def compare(one: tuple, two: tuple | None, radius: int, min_similarity: float |
     return nodes[x], nodes[y]
 
 
-def near_links(points: DataFrame, radius: int, min_similarity: float | None = None, tile_rows: int = 60_000, least_tiles: int = 16) -> DataFrame:
-    """points (fp, sketch, node; distinct) to links (a, b) that join whatever is near."""
+def likeliest(a: np.ndarray, b: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Which links between 0 .. n - 1 make the spanning forest of the greatest weight."""
+    order = np.argsort(-weight, kind="stable")
+    a, b = a[order], b[order]
+    label, left, taken = np.arange(n), np.arange(len(a)), np.zeros(len(a), bool)
+    while True:
+        x, y = label[a[left]], label[b[left]]
+        apart = x != y
+        left, x, y = left[apart], x[apart], y[apart]
+        if not len(left):
+            return order[taken]
+        best = np.full(n, len(a))  # the best link of each component
+        np.minimum.at(best, x, left)
+        np.minimum.at(best, y, left)
+        links = np.unique(best[best < len(a)])
+        taken[links] = True
+        nodes, least = forest(label[a[links]], label[b[links]], n)
+        moved = np.arange(n)
+        moved[nodes] = least
+        label = moved[label]
+
+
+def candidates(one: tuple, two: tuple | None, radius: int, min_similarity: float, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Near pairs within a tile (two is None) or between two: every one whose labels differ, or the likeliest forest of them.
+
+    A tile: prints, nodes, sketches, labels (of nodes of one label no pair is wanted).
+    """
+    other = two or one
+    base = 0 if two is None else len(one[0])
+    size = base + len(other[0])
+    none = np.zeros(0, np.int64)
+    a, b, weight, held = [none], [none], [np.zeros(0)], 0
+    for i, row in enumerate(gap(boxes(quarters(one[0])), boxes(quarters(other[0]))) <= radius):
+        left = one[0][i * STRETCH : (i + 1) * STRETCH, None]
+        for j in np.flatnonzero(row):
+            if two is None and j < i:
+                continue
+            p, q = np.nonzero(np.bitwise_count(left ^ other[0][j * STRETCH : (j + 1) * STRETCH]) <= radius)
+            p, q = p + i * STRETCH, q + j * STRETCH
+            wanted = one[3][p] != other[3][q]
+            if two is None:
+                wanted &= p < q
+            p, q = p[wanted], q[wanted]
+            if not len(p):
+                continue
+            like = similarity(one[2][p], other[2][q])
+            near = like >= min_similarity
+            if not near.any():
+                continue
+            a.append(p[near])
+            b.append(q[near] + base)
+            weight.append(like[near])
+            held += len(a[-1])
+            if not every and held > 4 * size + 65_536:
+                x, y, w = np.concatenate(a), np.concatenate(b), np.concatenate(weight)
+                best = likeliest(x, y, w, size)
+                a, b, weight, held = [x[best]], [y[best]], [w[best]], len(best)
+    x, y = np.concatenate(a), np.concatenate(b)
+    if not every:
+        best = likeliest(x, y, np.concatenate(weight), size)
+        x, y = x[best], y[best]
+    nodes = one[1] if two is None else np.concatenate([one[1], two[1]])
+    return nodes[x], nodes[y]
+
+
+def near_links(points: DataFrame, radius: int, min_similarity: float | None = None, tile_rows: int = 60_000, least_tiles: int = 16, pairs_of: str | None = None) -> DataFrame:
+    """points (fp, sketch, node; distinct) to links (a, b) that join whatever is near.
+
+    pairs_of: links are near pairs themselves, a "forest" of them, or "every" one between labels (points have a label).
+    """
     spark = points.sparkSession
     counts = [F.bit_count(F.shiftrightunsigned("fp", 16 * q).bitwiseAND(0xFFFF)) for q in range(4)]
     place = counts[0] * 17**3 + counts[1] * 17**2 + counts[2] * 17 + counts[3]
@@ -183,9 +268,13 @@ def near_links(points: DataFrame, radius: int, min_similarity: float | None = No
         box = np.stack([own.min(axis=0), own.max(axis=0)]).ravel().tolist()
         nodes = np.ascontiguousarray(table.column("node").to_numpy())
         sketches = b"".join(table.column("sketch").to_pylist())
-        return pa.table({"tile": pa.array([table.column("tile")[0].as_py()], pa.int32()), "box": pa.array([box], pa.list_(pa.int32())), "fps": pa.array([prints.tobytes()], pa.binary()), "nodes": pa.array([nodes.tobytes()], pa.binary()), "sketches": pa.array([sketches], pa.binary())})
+        labels = {"labels": pa.array([np.ascontiguousarray(table.column("label").to_numpy()).tobytes()], pa.binary())} if pairs_of else {}
+        return pa.table({"tile": pa.array([table.column("tile")[0].as_py()], pa.int32()), "box": pa.array([box], pa.list_(pa.int32())), "fps": pa.array([prints.tobytes()], pa.binary()), "nodes": pa.array([nodes.tobytes()], pa.binary()), "sketches": pa.array([sketches], pa.binary()), **labels})
 
-    cutting = points.select(number.cast("int").alias("tile"), "fp", "node", "sketch").groupBy("tile").applyInArrow(cut, "tile int, box array<int>, fps binary, nodes binary, sketches binary")
+    if pairs_of == "forest":
+        points = points.withColumn("label", F.col("node"))
+    columns = ["fp", "node", "sketch", *(["label"] if pairs_of else [])]
+    cutting = points.select(number.cast("int").alias("tile"), *columns).groupBy("tile").applyInArrow(cut, "tile int, box array<int>, fps binary, nodes binary, sketches binary" + ", labels binary" * bool(pairs_of))
     made = stored(cutting, "simhash-tiles")
     found = made.select("tile", "box").collect()
     box = np.array([r["box"] for r in found], np.int16).reshape(-1, 2, 4)
@@ -199,19 +288,59 @@ def near_links(points: DataFrame, radius: int, min_similarity: float | None = No
         for row in table.sort_by("tile").to_pylist():
             prints = np.frombuffer(row["fps"], np.uint64)
             own.append((prints, np.frombuffer(row["nodes"], np.int64), np.frombuffer(row["sketches"], np.uint8).reshape(len(prints), -1)))
-        a, b = compare(own[0], own[1] if len(own) > 1 else None, radius, min_similarity)
+            if pairs_of:
+                own[-1] += (np.frombuffer(row["labels"], np.int64),)
+        two = own[1] if len(own) > 1 else None
+        a, b = candidates(own[0], two, radius, min_similarity, pairs_of == "every") if pairs_of else compare(own[0], two, radius, min_similarity)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return made.join(wanted, "tile").groupBy("pair").applyInArrow(work, "a long, b long")
 
 
-def near_components(docs: DataFrame, words: int = 3, radius: int = 3, sketch_words: int = 0, min_similarity: float | None = None, **tiling) -> DataFrame:
-    """doc_id, fingerprint (hex), component_id; represents: the row that stands for its component; row_key."""
-    rows = fingerprinted(docs, words, sketch_words if min_similarity is not None else 0)
+def confirmed(docs: DataFrame, points: DataFrame, links: DataFrame, words: int, least_jaccard: float) -> DataFrame:
+    """The links (a, b) whose shingle sets have at least that Jaccard similarity. Sets are made of the linked texts only."""
+    ship(docs.sparkSession)
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    keys = points.join(ends, "node").select(F.col("rep.row_key").alias(KEY))
+    rows = docs.select(text_or_empty().cast("binary").alias("text"), row_key().alias(KEY)).join(keys, KEY, "left_semi").select("text")
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_hashes(text.as_py(), words) for text in batch.column(0)]
+            keys = np.array([set_key(own) for own in sets], np.uint64)
+            sets = [np.unique(own).view(np.int64) for own in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    sets = stored(rows.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"]), "simhash-sets")
+    both = links.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(common / (F.size("x") + F.size("y") - common) >= least_jaccard).select("a", "b")
+
+
+def confirmed_links(docs: DataFrame, points: DataFrame, words: int, radius: int, min_similarity: float, least_jaccard: float, **tiling) -> DataFrame:
+    """Links (a, b) of that Jaccard similarity which join all that candidates of that similarity join."""
+    bare = points.select("fp", "sketch", "node")
+    first = stored(near_links(bare, radius, min_similarity, pairs_of="forest", **tiling), "simhash-forest")
+    good = stored(confirmed(docs, points, first, words, least_jaccard), "simhash-confirmed")
+    labelled = bare.join(components(good), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rest = near_links(stored(labelled, "simhash-labelled"), radius, min_similarity, pairs_of="every", **tiling)
+    return good.unionByName(confirmed(docs, points, stored(rest, "simhash-rest"), words, least_jaccard))
+
+
+def near_components(docs: DataFrame, words: int = 3, radius: int = 3, sketch_words: int = 0, min_similarity: float | None = None, least_jaccard: float | None = None, **tiling) -> DataFrame:
+    """doc_id, fingerprint (hex), component_id; represents: the row that stands for its component; row_key.
+
+    least_jaccard needs sketch_words and min_similarity, which then make candidates only.
+    """
+    rows = fingerprinted(docs, words, sketch_words if min_similarity is not None else 0, least_jaccard is not None)
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
     points = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.min(first).alias("rep"))
     points = stored(points, "simhash-points")
-    linked = components(near_links(points.select("fp", "sketch", "node"), radius, min_similarity, **tiling))
+    if least_jaccard is None:
+        links = near_links(points.select("fp", "sketch", "node"), radius, min_similarity, **tiling)
+    else:
+        links = confirmed_links(docs, points, sketch_words, radius, min_similarity, least_jaccard, **tiling)
+    linked = components(links)
     labelled = points.select("node", "rep").join(linked, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     labelled = stored(labelled, "simhash-labels")
     named = stored(labelled.groupBy("label").agg(F.min("rep").alias("rep")), "simhash-names")  # stored, so a large component's rows can be split in the join

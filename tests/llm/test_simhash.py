@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from corvane.llm.components import components
 from corvane.llm.simhash import forest, keep_representatives, near_components, similarity, simhash, sketch, shingle_hashes
 from tests.llm.test_rows import edge_docs
@@ -95,3 +96,32 @@ def test_components_of_chains_and_stars(spark):
     assert got == want
     x, y = forest(np.array([0, 1, 4]), np.array([1, 2, 3]), 6)
     assert dict(zip(x.tolist(), y.tolist())) == {1: 0, 2: 0, 4: 3}
+
+
+def five(text):
+    own = text.split()
+    return {tuple(own[i : i + 5]) for i in range(max(1, len(own) - 4))}
+
+
+def test_pipeline_links_by_exact_jaccard(spark):
+    pick = random.Random(11)
+    fresh = iter(f"w{i}" for i in range(10**6))
+    take = lambda n: [next(fresh) for _ in range(n)]
+    texts = []
+    for k in range(120):  # appended blocks that end at 0.8 and just below
+        n = pick.choice([60, 200, 1000])
+        base = take(n)
+        more = (n - 4) // 4
+        texts += [base, base + take(more if k % 2 else more + max(1, n // 100))]
+    for _ in range(3):  # families around 0.8, where links hang on chains
+        base = take(150)
+        for _ in range(12):
+            at = pick.randrange(1, 150)
+            texts.append(base[:at] + take(pick.randrange(8, 24)) + base[at:])
+    rows = [(i, " ".join(t), "s") for i, t in enumerate(texts)]
+    sets = [five(t) for _, t, _ in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if not sets[i].isdisjoint(sets[j]) and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    want = brute_components(range(len(rows)), links)
+    docs = edge_docs(spark, rows)
+    assert sum(d == c for d, c in want.items()) > 100
+    assert sorted(r.doc_id for r in corpus_pipeline.near(spark, docs, "").collect()) == sorted(set(want.values()))
