@@ -9,7 +9,8 @@ information of e,
 
 with N documents, d_e that hold e, d_t that hold t and c in which t lies within `reach` code points of e. Terms with at
 least `support` such documents are generalised from `generalise` on and removed from `remove` on, where they stand near
-that entity. Counts cover all documents. Documents without entities are left alone.
+that entity. With fewer, as near an entity that a single document holds, chance counts for more and the threshold is
+`single`; without one they aren't scored. Counts cover all documents. Documents without entities are left alone.
 
 Patterns are written without backtracking (possessive repeats, starts only where a run begins), which finds the same
 matches in linear time and no deep recursion on very long texts.
@@ -130,23 +131,26 @@ def contexts(found: DataFrame) -> DataFrame:
     return rows.select("rid", "entity", "t.term", "t.s", "t.e")
 
 
-def disclosing(docs: DataFrame, found: DataFrame, near: DataFrame, generalise: float, support: int) -> DataFrame:
+def disclosing(docs: DataFrame, found: DataFrame, near: DataFrame, generalise: float, support: int, single: float | None) -> DataFrame:
     """entity, term, disclosure: pairs over the threshold."""
     n = found.count()
-    holds = found.select("rid", F.explode(F.array_distinct("mentions.entity")).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("d_e")).where(F.col("d_e") >= support)
-    pairs = near.join(holds, "entity").groupBy("entity", "term", "rid").agg(F.first("d_e").alias("d_e")).groupBy("entity", "term").agg(F.first("d_e").alias("d_e"), F.count(F.lit(1)).alias("c")).where(F.col("c") >= support)
+    holds = found.select("rid", F.explode(F.array_distinct("mentions.entity")).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("d_e"))
+    pairs = near.join(holds, "entity").groupBy("entity", "term", "rid").agg(F.first("d_e").alias("d_e")).groupBy("entity", "term").agg(F.first("d_e").alias("d_e"), F.count(F.lit(1)).alias("c"))
+    if single is None:
+        pairs = pairs.where(F.col("c") >= support)
     pairs = stored(pairs, "pii-pairs")
     terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty()), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("d_t"))
     total = F.lit(float(max(n, 1)))
     share = F.log2(F.col("c") * total / (F.col("d_t") * F.col("d_e"))) / F.log2(total / F.col("d_e"))
-    return pairs.where(F.col("d_e") < n).join(terms, "term").select("entity", "term", F.least(share, F.lit(1.0)).alias("disclosure")).where(F.col("disclosure") >= generalise)
+    least = F.when(F.col("c") >= support, generalise).otherwise(float("inf") if single is None else single)
+    return pairs.where(F.col("d_e") < n).join(terms, "term").select("entity", "term", F.least(share, F.lit(1.0)).alias("disclosure"), least.alias("least")).where(F.col("disclosure") >= F.col("least")).drop("least")
 
 
-def sanitise(docs: DataFrame, reach: int = 60, support: int = 2, generalise: float = 0.8, remove: float = 0.95, with_text: bool = False) -> DataFrame:
+def sanitise(docs: DataFrame, reach: int = 60, support: int = 2, generalise: float = 0.8, remove: float = 0.95, with_text: bool = False, single: float | None = None) -> DataFrame:
     """rid, doc_id, the spans of each kind, terms (s, e, v = what becomes of it), and with_text the text and its sanitised form."""
     found = found_in(docs, reach, with_text)
     near = stored(contexts(found), "pii-near")
-    bad = stored(disclosing(docs, found, near, generalise, support), "pii-disclosing")
+    bad = stored(disclosing(docs, found, near, generalise, support, single), "pii-disclosing")
     hits = near.join(bad, ["entity", "term"]).groupBy("rid", "s", "e").agg(F.max("disclosure").alias("disclosure"))
     what = F.when(F.col("disclosure") >= remove, F.lit("removed")).otherwise(F.lit("generalised"))
     hits = hits.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("s", "e", what.alias("v")))).alias("terms"))
@@ -177,9 +181,9 @@ def listed(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda x: F.concat(F.lit(kind + ":"), x["s"].cast("string"), F.lit(":"), x["e"].cast("string")))
 
 
-def personal_data(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms."""
-    out = sanitise(docs, **how)
+def personal_data(docs: DataFrame, single: float | None = 0.95, **how) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms. Every entity is scored, those of one document too."""
+    out = sanitise(docs, single=single, **how)
     base = [listed(k, F.col(k)) for k in KINDS]
     return out.select(
         "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(F.concat_ws(",", F.concat(*base)), 256).alias("base_sha256"),

@@ -114,3 +114,13 @@ def test_edges_and_plan(spark):
     assert [r.n_email for r in personal_data(same).collect()] == [1, 1, 1]
     plan = personal_data(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_entities_of_one_document_are_scored(spark):
+    pick = random.Random(7)
+    texts = [" ".join(pick.choices(["and", "the", "of", "near", "to", "is"], k=30)) for _ in range(200)]
+    texts[3] = "the and Xanthor writes from solo@one.example to the " + texts[3]
+    texts[4] = "writes " + texts[4]
+    got = {r.doc_id: r for r in personal_data(edge_docs(spark, [(i, t, None) for i, t in enumerate(texts)])).collect()}
+    terms = {texts[i][int(s) : int(e)] for i, r in got.items() for k, s, e in (x.split(":") for x in r.spans.split(",") if x) if k == "term"}
+    assert terms == {"Xanthor", "from"} and got[3].n_terms == 2
