@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 from corvane import queries as catalogue
+from corvane.operators import popularity
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -55,3 +56,18 @@ def test_greedy_dedup_brute_force(spark, duck):
         ids.add((batch, i))
         days.add((batch, venue, day))
     assert sorted(r.seq for r in catalogue.queries()["u04_greedy_dedup"](spark, SF_DIR).collect()) == want
+
+
+def test_round_robin_over_a_whole_table(spark):
+    path = "/root/testdata/sf0.01/customer.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables here")
+    rows = spark.read.parquet(path).select("c_custkey", "c_mktsegment")
+    out = popularity.round_robin(rows, "c_mktsegment", ["c_custkey"])
+    turns, want = {}, []
+    for key, segment in sorted(map(tuple, rows.collect())):
+        turns[segment] = turns.get(segment, 0) + 1
+        want.append((turns[segment], segment, key))
+    assert len(want) > 1000
+    assert sorted((r.position, r.turn, r.c_mktsegment, r.c_custkey) for r in out.collect()) == [(i, *x) for i, x in enumerate(sorted(want), 1)]
+    assert "windowspecdefinition(turn" not in out._jdf.queryExecution().toString()  # no window over all rows
