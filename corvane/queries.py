@@ -785,7 +785,7 @@ def p09_aliases(spark, sf_dir):
 
 @query
 def u04_greedy_dedup(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").where("p_partkey < 400").select(F.col("p_partkey").alias("seq"), F.concat(F.lit("i"), F.col("p_partkey") % 90).alias("id"), F.col("p_type").alias("venue"), F.expr("timestamp_ntz'2025-01-01 20:00:00' + make_dt_interval(p_size % 11)").alias("event_datetime"), F.col("p_brand").alias("batch"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq"), F.concat(F.lit("i"), F.col("p_partkey") % 90).alias("id"), F.col("p_type").alias("venue"), F.expr("timestamp_ntz'2025-01-01 20:00:00' + make_dt_interval(p_size % 11)").alias("event_datetime"), F.col("p_brand").alias("batch"))
     return collect.first_of_both(rows, ["seq"], "batch").select("seq", "id")
 
 

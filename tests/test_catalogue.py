@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from corvane import queries as catalogue
-from corvane.operators import popularity
+from corvane.operators import collect, popularity
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -71,3 +71,25 @@ def test_round_robin_over_a_whole_table(spark):
     assert len(want) > 1000
     assert sorted((r.position, r.turn, r.c_mktsegment, r.c_custkey) for r in out.collect()) == [(i, *x) for i, x in enumerate(sorted(want), 1)]
     assert "windowspecdefinition(turn" not in out._jdf.queryExecution().toString()  # no window over all rows
+
+
+def test_greedy_dedup_over_a_whole_table(spark):
+    path = "/root/testdata/sf0.01/part.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables here")
+    rows = duckdb.sql(f"select p_partkey, p_partkey % 90, p_type, p_size % 11, p_brand from '{path}' order by 1").fetchall()
+    want, taken = [], set()
+    for seq, i, venue, day, batch in rows:
+        keys = {(batch, i), (batch, venue.lower(), day)}
+        if not keys & taken:
+            want.append(seq)
+            taken |= keys
+    assert max(want) > 400
+    got = catalogue.queries()["u04_greedy_dedup"](spark, "/root/testdata/sf0.01")
+    assert sorted(r.seq for r in got.collect()) == want
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    day = pd.Timestamp("2025-01-01 20:00").to_pydatetime()
+    odd = [(1, "a", None, day), (1, "a", None, day), (2, None, "v", day), (3, "", "V", day), (4, "", "", None), (5, None, None, day), (6, "b", "w", day), (7, "b", "u", day), (8, "c", "u", day)]
+    made = spark.createDataFrame(odd, "seq int, id string, venue string, event_datetime timestamp")
+    assert sorted(r.seq for r in collect.first_of_both(made, ["seq"]).collect()) == [1, 2, 4, 5, 6, 8]
+    assert collect.first_of_both(made.limit(0), ["seq"]).columns == made.columns
