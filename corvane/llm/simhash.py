@@ -246,7 +246,8 @@ def candidates(one: tuple, two: tuple | None, radius: int, min_similarity: float
 def near_links(points: DataFrame, radius: int, min_similarity: float | None = None, tile_rows: int = 60_000, least_tiles: int = 16, pairs_of: str | None = None) -> DataFrame:
     """points (fp, sketch, node; distinct) to links (a, b) that join whatever is near.
 
-    pairs_of: links are near pairs themselves, a "forest" of them, or "every" one between labels (points have a label).
+    pairs_of: near pairs themselves, a "forest" of them or "every" one between labels (points have a label), as a row for
+    each pair of tiles: pair, a and b (arrays of longs as bytes), ends (the nodes in them).
     """
     spark = points.sparkSession
     counts = [F.bit_count(F.shiftrightunsigned("fp", 16 * q).bitwiseAND(0xFFFF)) for q in range(4)]
@@ -291,17 +292,25 @@ def near_links(points: DataFrame, radius: int, min_similarity: float | None = No
             if pairs_of:
                 own[-1] += (np.frombuffer(row["labels"], np.int64),)
         two = own[1] if len(own) > 1 else None
-        a, b = candidates(own[0], two, radius, min_similarity, pairs_of == "every") if pairs_of else compare(own[0], two, radius, min_similarity)
+        if pairs_of:
+            a, b = candidates(own[0], two, radius, min_similarity, pairs_of == "every")
+            some = 1 if len(a) else 0
+            row = {"pair": [table.column("pair")[0].as_py()], "a": [a.tobytes()], "b": [b.tobytes()], "ends": [np.unique(np.r_[a, b])]}
+            return pa.table({k: pa.array(v[:some], t) for (k, v), t in zip(row.items(), (pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())), strict=True)})
+        a, b = compare(own[0], two, radius, min_similarity)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return made.join(wanted, "tile").groupBy("pair").applyInArrow(work, "a long, b long")
+    return made.join(wanted, "tile").groupBy("pair").applyInArrow(work, "pair int, a binary, b binary, ends array<long>" if pairs_of else "a long, b long")
 
 
 def confirmed(docs: DataFrame, points: DataFrame, links: DataFrame, words: int, least_jaccard: float) -> DataFrame:
-    """The links (a, b) whose shingle sets have at least that Jaccard similarity. Sets are made of the linked texts only."""
+    """Links (a, b) that join what the links of at least that Jaccard similarity join; links as near_links has pairs.
+
+    Sets are made of the linked texts only and go to a pair of tiles once, not once a link.
+    """
     ship(docs.sparkSession)
-    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    keys = points.join(ends, "node").select(F.col("rep.row_key").alias(KEY))
+    needs = links.select(F.col("pair").alias("place"), F.explode("ends").alias("node"))
+    keys = points.join(needs.select("node").distinct(), "node").select(F.col("rep.row_key").alias(KEY))
     rows = docs.select(text_or_empty().cast("binary").alias("text"), row_key().alias(KEY)).join(keys, KEY, "left_semi").select("text")
 
     def run(batches):
@@ -312,9 +321,22 @@ def confirmed(docs: DataFrame, points: DataFrame, links: DataFrame, words: int,
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
     sets = stored(rows.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"]), "simhash-sets")
-    both = links.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(common / (F.size("x") + F.size("y") - common) >= least_jaccard).select("a", "b")
+
+    def verify(pairs: pa.Table, held: pa.Table) -> pa.Table:
+        nodes = held.column("node").to_numpy()
+        of = [x.values.to_numpy() for x in held.column("shingles")]
+        order = np.argsort(nodes)
+        a, b = (order[np.searchsorted(nodes, np.frombuffer(pairs.column(k)[0].as_py(), np.int64), sorter=order)] for k in ("a", "b"))
+        good = np.zeros(len(a), bool)
+        for k, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            x, y = of[i], of[j]
+            if min(len(x), len(y)) >= least_jaccard * max(len(x), len(y)) - 1:  # no similarity is above the sizes' ratio
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                good[k] = common / (len(x) + len(y) - common) >= least_jaccard
+        x, y = forest(a[good], b[good], len(nodes))
+        return pa.table({"a": pa.array(nodes[x], pa.int64()), "b": pa.array(nodes[y], pa.int64())})
+
+    return links.groupBy("pair").cogroup(needs.join(sets, "node").groupBy("place")).applyInArrow(verify, "a long, b long")
 
 
 def confirmed_links(docs: DataFrame, points: DataFrame, words: int, radius: int, min_similarity: float, least_jaccard: float, **tiling) -> DataFrame:
