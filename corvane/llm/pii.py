@@ -35,22 +35,29 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TERM = r"[\p{L}\p{M}\p{N}]++"
+#: Up to so many terms near entities are broadcast, so that only they are counted over the corpus.
+MOST_TERMS = 500_000
 _SPAN = "array<struct<s:int,e:int,v:string>>"
 
 
-def located(text: Column, pattern: str, least: int = 0) -> Column:
-    """All matches with their places in code points: array of (s, e, v), end exclusive."""
+def located(text: Column, pattern: str, least: int = 0, stretch: int = 256) -> Column:
+    """All matches with their places in code points: array of (s, e, v), end exclusive. Built in stretches, so that many matches aren't copied once each."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
     both = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda n, v: F.struct(n.alias("n"), v.alias("v")))
-    start = F.struct(F.lit(least).alias("at"), F.array().cast(_SPAN).alias("out"))
+    parts = F.transform(F.sequence(F.lit(0), F.floor(F.size(both) / stretch).cast("int")), lambda k: F.slice(both, k * stretch + 1, F.lit(stretch)))
 
     def step(held, x):
         s = held["at"] + x["n"]
         e = s + F.length(x["v"])
         return F.struct(e.alias("at"), F.concat(held["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["v"].alias("v")))).alias("out"))
 
-    return F.aggregate(both, start, step, lambda held: held["out"])
+    def longer(held, part):
+        own = F.aggregate(part, F.struct(held["at"].alias("at"), F.array().cast(_SPAN).alias("out")), step)
+        return F.struct(own["at"].alias("at"), F.concat(held["out"], F.array(own["out"])).alias("out"))
+
+    start = F.struct(F.lit(least).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+    return F.aggregate(parts, start, longer, lambda held: F.flatten(held["out"]))
 
 
 def digits(v: Column) -> Column:
@@ -139,7 +146,11 @@ def disclosing(docs: DataFrame, found: DataFrame, near: DataFrame, generalise: f
     if single is None:
         pairs = pairs.where(F.col("c") >= support)
     pairs = stored(pairs, "pii-pairs")
-    terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty()), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("d_t"))
+    wanted = stored(pairs.select("term").distinct(), "pii-terms")
+    terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty()), F.lit(TERM), F.lit(0)))).alias("term"))
+    if wanted.count() <= MOST_TERMS:  # other terms needn't be counted; where these are too many to broadcast, all are
+        terms = terms.join(F.broadcast(wanted), "term", "left_semi")
+    terms = terms.groupBy("term").agg(F.count(F.lit(1)).alias("d_t"))
     total = F.lit(float(max(n, 1)))
     share = F.log2(F.col("c") * total / (F.col("d_t") * F.col("d_e"))) / F.log2(total / F.col("d_e"))
     least = F.when(F.col("c") >= support, generalise).otherwise(float("inf") if single is None else single)
@@ -182,10 +193,10 @@ def listed(kind: str, spans: Column) -> Column:
 
 
 def personal_data(docs: DataFrame, single: float | None = 0.95, **how) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms. Every entity is scored, those of one document too."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms, n_spans. Every entity is scored, those of one document too."""
     out = sanitise(docs, single=single, **how)
     base = [listed(k, F.col(k)) for k in KINDS]
     return out.select(
         "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(F.concat_ws(",", F.concat(*base)), 256).alias("base_sha256"),
-        F.concat_ws(",", F.concat(*base, listed("term", F.col("terms")))).alias("spans"), F.size("terms").cast("long").alias("n_terms"),
+        F.concat_ws(",", F.concat(*base, listed("term", F.col("terms")))).alias("spans"), F.size("terms").cast("long").alias("n_terms"), (sum(F.size(k) for k in KINDS) + F.size("terms")).cast("long").alias("n_spans"),
     )

@@ -89,5 +89,30 @@ FROM n WINDOW w AS (PARTITION BY norm)
 """
 
 
+def _crc_step(value: int, polynomial: int = 0xEDB88320) -> int:
+    for _ in range(4):
+        value = value >> 1 ^ (polynomial if value & 1 else 0)
+    return value
+
+
+# CRC-32 by half bytes, low half first
+OP3_SQL = rf"""
+WITH rows AS (
+  SELECT doc_id, coalesce(text, '') AS text, CASE WHEN source IS NULL THEN 't' ELSE 's' || source END AS src,
+    substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || coalesce(text, '')), 1, 15) AS h
+  FROM documents
+), halves AS (
+  SELECT doc_id, src, h, CAST(strlen(text) + 8 AS BIGINT) AS size, list_transform(regexp_extract_all(regexp_replace(hex(text), '(.)(.)', '\2\1', 'g'), '.'), lambda x: CAST('0x' || x AS BIGINT)) AS l FROM rows
+), summed AS (
+  SELECT doc_id, src, h, size, xor(list_reduce(list_prepend(4294967295::BIGINT, l), lambda c, x: xor(c >> 4, {[_crc_step(i) for i in range(16)]}[xor(c & 15, x) + 1])), 4294967295) AS text_crc32 FROM halves
+), ranked AS (
+  SELECT *, CAST(2 * (row_number() OVER (PARTITION BY src ORDER BY h) - 1) + 1 AS DOUBLE) / CAST(2 * count(*) OVER (PARTITION BY src) AS DOUBLE) AS share FROM summed
+), placed AS (
+  SELECT *, row_number() OVER (ORDER BY share, src, h) - 1 AS place, count(*) OVER () AS total FROM ranked
+), cut AS (SELECT *, CAST(place * 24 // total AS INTEGER) AS shard FROM placed)
+SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, shard, CAST(place - (shard * total + 23) // 24 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM cut
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL}
+    return {"op3_sharding": OP3_SQL, "op5_exact_dedup": OP5_SQL}

@@ -5,8 +5,12 @@ source, every stretch of the order holds the sources in their proportions, and c
 shards that all match the mixture. Law: `rows`. Ranks are counted by buckets of the hash (then of the fractional rank),
 so no window ever holds a whole source: a source of any size is dealt over all buckets evenly.
 
+The hash is of identifier and text; a row repeated in full so often that its one hash would make a large bucket is dealt
+over buckets by its address, so repeated rows don't gather either.
+
 Cases: a null text has no bytes; null sources form one source; null or repeated identifiers are ordinary rows, ordered
-by hash, identifier, size and checksum; an empty table gives an empty result. Copies of a text are ordinary rows too.
+by hash, then by address, which tells rows apart that share identifier and text; an empty table gives an empty result.
+Copies of a text are ordinary rows too.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import bucket_bits, seeded_hash, source_key, stored, text_or_empty, top_bits
+from corvane.llm.common import addressed, bucket_bits, fresh, hash_buckets, seeded_hash, source_key, stored, text_or_empty
 
 
 def _with_rank(rows: DataFrame, keys: list[str], bucket: str, order: list) -> DataFrame:
@@ -30,14 +34,19 @@ def shard(docs: DataFrame, shards: int = 24, seed: int = 17, per_bucket: int = 2
     """doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     text = text_or_empty()
     size = F.coalesce(F.octet_length(F.col("text")), F.lit(0)).cast("long") + 8
-    rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), source_key().alias("src"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), seeded_hash(seed, "doc_id").alias("h")), "shard-rows")
+    at = fresh(docs, "_row")
+    # 60 bits of MD5, which SQL engines share, placed so that signed numbers order like them
+    told = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")), text)
+    hashed = F.shiftleft(F.conv(F.substring(F.md5(told.cast("binary")), 1, 15), 16, 10).cast("long"), 4).bitwiseXOR(F.lit(-(2**63)))
+    rows = addressed(docs, at).select(F.col("doc_id").cast("long").alias("doc_id"), source_key().alias("src"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), hashed.alias("h"), seeded_hash(seed, at).alias("g"))
+    rows = stored(rows, "shard-rows")
     per_source = rows.groupBy("src").agg(F.count(F.lit(1)).alias("_rows"))
     total = rows.count()
     bits = bucket_bits(total, per_bucket)
-    ties = ["h", "doc_id", "size", "text_crc32"]
-    ranked = _with_rank(rows.withColumn("bucket", top_bits(F.col("h"), bits)), ["src"], "bucket", ties).join(per_source, "src")
+    ties = ["h", "g"]
+    ranked = _with_rank(rows.withColumn("bucket", hash_buckets(rows, total, per_bucket)), ["src"], "bucket", ties).join(per_source, "src")
     share = (F.col("rank") * 2 + 1) / (F.col("_rows") * 2).cast("double")
-    ranked = ranked.select("doc_id", "size", "text_crc32", "h", "src", share.alias("share")).withColumn("part", F.least(F.floor(F.col("share") * (1 << bits)), F.lit((1 << bits) - 1)).cast("int")).withColumn("all", F.lit(0))
+    ranked = ranked.select("doc_id", "size", "text_crc32", "h", "g", "src", share.alias("share")).withColumn("part", F.least(F.floor(F.col("share") * (1 << bits)), F.lit((1 << bits) - 1)).cast("int")).withColumn("all", F.lit(0))
     placed = _with_rank(ranked, ["all"], "part", ["share", "src", *ties])
     placed = placed.withColumn("shard", F.expr(f"cast((rank * {shards}L) div {max(1, total)}L as int)"))
     first = F.expr(f"(shard * {max(1, total)}L + {shards - 1}L) div {shards}L")

@@ -14,7 +14,8 @@ sets (of 64-bit hashes). Two passes do it: the first confirms a spanning forest
 all candidates between the components that this makes. So every candidate is confirmed, refuted or inside a component.
 
 The comparison is exact, so its cost grows with the square of the distinct fingerprints that the counts let through.
-The driver holds one row per tile (1,024 at most), never fingerprints.
+The driver holds one row per tile (1,024 at most), never fingerprints; tiles of more than 60,000 points are dealt into
+parts of that size, so what a task holds doesn't grow with the table.
 
 Cases: null text counts as empty; texts without words have fingerprint zero; equal texts share fingerprint and
 component; null identifiers are members, but never name a component unless it has no other; an empty table gives an
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import KEY, chosen, row_key, ship, stored, text_or_empty
+from corvane.llm.common import KEY, join_spread, keep_rows, row_key, ship, stored, text_or_empty
 from corvane.llm.components import components
 
 LANES = 128
@@ -243,7 +244,7 @@ def candidates(one: tuple, two: tuple | None, radius: int, min_similarity: float
     return nodes[x], nodes[y]
 
 
-def near_links(points: DataFrame, radius: int, min_similarity: float | None = None, tile_rows: int = 60_000, least_tiles: int = 16, pairs_of: str | None = None) -> DataFrame:
+def near_links(points: DataFrame, radius: int, min_similarity: float | None = None, tile_rows: int = 60_000, least_tiles: int = 16, most_tiles: int = 1024, pairs_of: str | None = None) -> DataFrame:
     """points (fp, sketch, node; distinct) to links (a, b) that join whatever is near.
 
     pairs_of: near pairs themselves, a "forest" of them or "every" one between labels (points have a label), as a row for
@@ -255,7 +256,8 @@ def near_links(points: DataFrame, radius: int, min_similarity: float | None = No
     # the order: the quarters' counts, then the fingerprint as a fraction
     points = points.withColumn("place", place.cast("double") + F.pmod(F.xxhash64("fp", "node"), F.lit(1 << 20)) / float(1 << 20))
     n = points.count()
-    tiles = max(least_tiles, min(1024, -(-n // tile_rows)))
+    tiles = max(least_tiles, min(most_tiles, -(-n // tile_rows)))
+    parts = max(1, -(-n // (tiles * tile_rows)))  # of a tile, by hash, so that none is larger however many points there are
     cuts = points.select(F.percentile_approx("place", [k / tiles for k in range(1, tiles)], 20 * tiles).alias("cuts")).collect()[0]["cuts"] or []
     number = sum((F.col("place") > c).cast("int") for c in cuts) if cuts else F.lit(0)
 
@@ -270,23 +272,27 @@ def near_links(points: DataFrame, radius: int, min_similarity: float | None = No
         nodes = np.ascontiguousarray(table.column("node").to_numpy())
         sketches = b"".join(table.column("sketch").to_pylist())
         labels = {"labels": pa.array([np.ascontiguousarray(table.column("label").to_numpy()).tobytes()], pa.binary())} if pairs_of else {}
-        return pa.table({"tile": pa.array([table.column("tile")[0].as_py()], pa.int32()), "box": pa.array([box], pa.list_(pa.int32())), "fps": pa.array([prints.tobytes()], pa.binary()), "nodes": pa.array([nodes.tobytes()], pa.binary()), "sketches": pa.array([sketches], pa.binary()), **labels})
+        return pa.table({"tile": pa.array([table.column("tile")[0].as_py()], pa.int32()), "part": pa.array([table.column("part")[0].as_py()], pa.int32()), "box": pa.array([box], pa.list_(pa.int32())), "fps": pa.array([prints.tobytes()], pa.binary()), "nodes": pa.array([nodes.tobytes()], pa.binary()), "sketches": pa.array([sketches], pa.binary()), **labels})
 
     if pairs_of == "forest":
         points = points.withColumn("label", F.col("node"))
     columns = ["fp", "node", "sketch", *(["label"] if pairs_of else [])]
-    cutting = points.select(number.cast("int").alias("tile"), *columns).groupBy("tile").applyInArrow(cut, "tile int, box array<int>, fps binary, nodes binary, sketches binary" + ", labels binary" * bool(pairs_of))
+    cutting = points.select(number.cast("int").alias("tile"), F.pmod(F.xxhash64("node", F.lit(3)), F.lit(parts)).cast("int").alias("part"), *columns)
+    cutting = cutting.groupBy("tile", "part").applyInArrow(cut, "tile int, part int, box array<int>, fps binary, nodes binary, sketches binary" + ", labels binary" * bool(pairs_of))
     made = stored(cutting, "simhash-tiles")
-    found = made.select("tile", "box").collect()
+    sides = [F.min(F.col("box")[k]) for k in range(4)] + [F.max(F.col("box")[k]) for k in range(4, 8)]
+    found = made.groupBy("tile").agg(F.array(*sides).alias("box")).collect()
     box = np.array([r["box"] for r in found], np.int16).reshape(-1, 2, 4)
     near = gap(box, box) <= radius if len(found) else np.zeros((0, 0), bool)
-    pairs = [(found[i]["tile"], found[j]["tile"]) for i, j in zip(*np.nonzero(near), strict=True) if found[i]["tile"] <= found[j]["tile"]]
-    need = [(k, t) for k, (i, j) in enumerate(pairs) for t in dict.fromkeys((i, j))]
-    wanted = spark.createDataFrame(need or [(0, -1)], "pair int, tile int")
+    pairs = [(k, found[i]["tile"], found[j]["tile"]) for k, (i, j) in enumerate(zip(*np.nonzero(near), strict=True)) if found[i]["tile"] <= found[j]["tile"]]
+    of = F.sequence(F.lit(0), F.lit(parts - 1))
+    wanted = spark.createDataFrame(pairs or [(0, -1, -1)], "k long, i int, j int").select("*", F.explode(of).alias("p")).select("*", F.explode(of).alias("q")).where("i <> j or p <= q")
+    ends = F.array_distinct(F.array(F.struct(F.col("i").alias("tile"), F.col("p").alias("part")), F.struct(F.col("j").alias("tile"), F.col("q").alias("part"))))
+    wanted = wanted.select(((F.col("k") * parts + F.col("p")) * parts + F.col("q")).alias("pair"), F.explode(ends).alias("of")).select("pair", "of.*")
 
     def work(table: pa.Table) -> pa.Table:
         own = []
-        for row in table.sort_by("tile").to_pylist():
+        for row in table.sort_by([("tile", "ascending"), ("part", "ascending")]).to_pylist():
             prints = np.frombuffer(row["fps"], np.uint64)
             own.append((prints, np.frombuffer(row["nodes"], np.int64), np.frombuffer(row["sketches"], np.uint8).reshape(len(prints), -1)))
             if pairs_of:
@@ -296,11 +302,11 @@ def near_links(points: DataFrame, radius: int, min_similarity: float | None = No
             a, b = candidates(own[0], two, radius, min_similarity, pairs_of == "every")
             some = 1 if len(a) else 0
             row = {"pair": [table.column("pair")[0].as_py()], "a": [a.tobytes()], "b": [b.tobytes()], "ends": [np.unique(np.r_[a, b])]}
-            return pa.table({k: pa.array(v[:some], t) for (k, v), t in zip(row.items(), (pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())), strict=True)})
+            return pa.table({k: pa.array(v[:some], t) for (k, v), t in zip(row.items(), (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())), strict=True)})
         a, b = compare(own[0], two, radius, min_similarity)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return made.join(wanted, "tile").groupBy("pair").applyInArrow(work, "pair int, a binary, b binary, ends array<long>" if pairs_of else "a long, b long")
+    return made.drop("box").join(wanted, ["tile", "part"]).groupBy("pair").applyInArrow(work, "pair long, a binary, b binary, ends array<long>" if pairs_of else "a long, b long")
 
 
 def confirmed(docs: DataFrame, points: DataFrame, links: DataFrame, words: int, least_jaccard: float) -> DataFrame:
@@ -356,20 +362,23 @@ def near_components(docs: DataFrame, words: int = 3, radius: int = 3, sketch_wor
     """
     rows = fingerprinted(docs, words, sketch_words if min_similarity is not None else 0, least_jaccard is not None)
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
-    points = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.min(first).alias("rep"))
+    points = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.min(first).alias("rep"), F.count(F.lit(1)).alias("n"))
     points = stored(points, "simhash-points")
+    n_rows, n_points = (r or 0 for r in points.agg(F.sum("n"), F.count(F.lit(1))).collect()[0])
     if least_jaccard is None:
         links = near_links(points.select("fp", "sketch", "node"), radius, min_similarity, **tiling)
     else:
         links = confirmed_links(docs, points, sketch_words, radius, min_similarity, least_jaccard, **tiling)
     linked = components(links)
-    labelled = points.select("node", "rep").join(linked, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
+    labelled = points.select("node", "rep", "n").join(linked, "node", "left").select("node", "rep", "n", F.coalesce("label", "node").alias("label"))
     labelled = stored(labelled, "simhash-labels")
-    named = stored(labelled.groupBy("label").agg(F.min("rep").alias("rep")), "simhash-names")  # stored, so a large component's rows can be split in the join
-    names = labelled.select("node", "label").join(named, "label").select("node", F.col("rep.doc_id").alias("component_id"), F.col("rep.row_key").alias("rep_key"))
-    return rows.join(names, "node").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", (F.col("row_key") == F.col("rep_key")).alias("represents"), "row_key")
+    named = stored(labelled.groupBy("label").agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("points")), "simhash-names")
+    names = join_spread(labelled.select("node", "label", "n"), named, ["label"], "points", n_points)
+    names = stored(names.select("node", "n", F.col("rep.doc_id").alias("component_id"), F.col("rep.row_key").alias("rep_key")), "simhash-named")
+    out = join_spread(rows, names, ["node"], "n", n_rows)  # a text that very many rows share doesn't gather in one task
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", (F.col("row_key") == F.col("rep_key")).alias("represents"), "row_key")
 
 
 def keep_representatives(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of docs that represent their component, once each, with all their columns."""
-    return chosen(docs, row_key(), found.where("represents").select(F.col("row_key").alias(KEY)))
+    return keep_rows(docs, row_key(), found.where("represents").select(F.col("row_key").alias(KEY)))

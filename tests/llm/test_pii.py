@@ -124,3 +124,18 @@ def test_entities_of_one_document_are_scored(spark):
     got = {r.doc_id: r for r in personal_data(edge_docs(spark, [(i, t, None) for i, t in enumerate(texts)])).collect()}
     terms = {texts[i][int(s) : int(e)] for i, r in got.items() for k, s, e in (x.split(":") for x in r.spans.split(",") if x) if k == "term"}
     assert terms == {"Xanthor", "from"} and got[3].n_terms == 2
+
+
+def test_many_matches_and_clashing_columns(spark):
+    from corvane.llm.pii import personal_data
+
+    text = " ".join(f"a{i}@b.cd" for i in range(1500))
+    docs = spark.createDataFrame([(1, text, "x", 1), (2, None, "y", 2), (2, "+49 30 1234567", "z", 3)], "doc_id long, text string, term string, entity int")
+    got = {(r.doc_id, r.n_email, r.n_phone): r for r in personal_data(docs).collect()}
+    assert set(got) == {(1, 1500, 0), (2, 0, 0), (2, 0, 1)}
+    spans, at = [], 0
+    for i in range(1500):
+        word = f"a{i}@b.cd"
+        spans.append(f"email:{at}:{at + len(word)}")
+        at += len(word) + 1
+    assert got[1, 1500, 0].spans.startswith(",".join(spans)) and got[1, 1500, 0].n_spans >= 1500

@@ -79,3 +79,34 @@ def test_run_and_repeated_rows(spark, tmp_path):
     spark.read.parquet(str(tmp_path / "labels.parquet")).write.parquet(str(tmp_path / "b/labels.parquet"))
     a, b = (cp.run(spark, str(p)).toPandas() for p in (tmp_path, tmp_path / "b"))
     assert a.length.sum() == pytest.approx(b.length.sum(), rel=0.02)
+
+
+def test_empty_tables(spark, tmp_path):
+    edge_docs(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert cp.run(spark, str(tmp_path)).count() == 0
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == COLUMNS and out.count() == 0
+
+
+def test_planted_near_copies(spark):
+    """Of near copies with an exact similarity of 0.8 or more, at least 0.9 are joined to their original, and no others."""
+    pick = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    shingles = lambda words: {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+    rows, of = [], {}
+    for i in range(150):
+        words = pick.choices(vocabulary, k=pick.choice([30, 120, 400]))
+        rows.append((2 * i, " ".join(words), "s"))
+        other = list(words)
+        for _ in range(max(1, round(len(words) * pick.choice([0.005, 0.01, 0.02, 0.05])))):
+            other[pick.randrange(len(other))] = pick.choice(vocabulary)
+        a, b = shingles(words), shingles(other)
+        rows.append((2 * i + 1, " ".join(other), "s"))
+        of[2 * i + 1] = len(a & b) / len(a | b)
+    kept = {r.doc_id for r in cp.near(spark, edge_docs(spark, rows), "").collect()}
+    near = [d for d, j in of.items() if j >= 0.8]
+    assert len(near) >= 40 and sum(d not in kept for d in near) >= 0.9 * len(near)
+    assert all(d in kept for d, j in of.items() if j < 0.8) and all(2 * i in kept for i in range(150))

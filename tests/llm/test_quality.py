@@ -55,3 +55,18 @@ def test_query_edges(spark):
     assert classify(docs.limit(0), labels).count() == 0
     short = train(docs, labels, most_bytes=1, epochs=1, least_steps=1)
     assert short is not None  # one document at least
+
+
+def test_held_out_rows_of_the_labels(spark):
+    import os
+
+    sf = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables here")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
+    got = classify(docs, labels).where("held_out").join(labels, "doc_id").toPandas()
+    ranks = got.score.rank()
+    good = got.quality == 1
+    auc = (ranks[good].sum() - good.sum() * (good.sum() + 1) / 2) / (good.sum() * (~good).sum())
+    assert len(got) > 100 and auc >= 0.95 and ((got.predicted == 1) == good).mean() >= 0.9

@@ -9,7 +9,8 @@ import pytest
 
 from corvane.llm import exact_dedup as ed
 from corvane.llm.exact_dedup import exact_dedup, keep_one
-from corvane.llm.mixing import fill, min_cost_flow, mix_by_source, share_targets
+from corvane.llm import mixing as mx
+from corvane.llm.mixing import choose, fill, min_cost_flow, mix_by_source, mixed, share_targets
 from corvane.llm.sharding import shard
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, run int, h double, rank string"
@@ -113,3 +114,123 @@ def test_mix_meets_its_targets(spark):
     again = mix_by_source(edge_docs(spark, rows[::-1])).toPandas()
     key = ["doc_id", "taken"]
     assert got[key].sort_values(key).values.tolist() == again[key].sort_values(key).values.tolist()
+
+
+def brute_choice(order, room, tail):
+    """The rows (key, size) that a prefix of `room` words takes: whole rows in order, then the best of those around its end."""
+    at, left = 0, room
+    while at < len(order) and order[at][1] <= left:
+        left, at = left - order[at][1], at + 1
+    back = min(tail // 2, at)
+    around = order[at - back : at + tail]
+    left += sum(s for _, s in order[at - back : at])
+    sums = {0: ()}
+    for i, (_, s) in enumerate(around):
+        for total, picked in list(sums.items()):
+            if total + s <= left and total + s not in sums:
+                sums[total + s] = (*picked, i)
+    return at - back, max(sums)
+
+
+@pytest.mark.parametrize("per_bucket", [10, 1000, 100_000])
+def test_choice_in_buckets_of_any_size(spark, per_bucket):
+    from pyspark.sql import functions as F
+
+    rows = [(i if i % 4 else None, " w" * (1 + i * 37 % 90), "ab"[i % 3 == 0]) for i in range(3000)] + [(7, " w w w", "a")] * 1500
+    out, plan = mx.mix(edge_docs(spark, rows).repartition(5), F.array(mx.source_key()), mx.repeating_weights, per_bucket=per_bucket, few=100)
+    got = out.toPandas()
+    assert len(got) == 4500
+    taken = (got.times * got["size"]).groupby(got.pattern).sum()
+    for pattern, members, _ in plan["flows"]:
+        assert taken[pattern] == round(plan["targets"][members[0]])
+    assert got.groupby("pattern").times.agg(lambda t: t.max() - t.min()).max() <= 1
+
+
+def test_choice_equals_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, " w" * (1 + i * 37 % 90), "ab"[i % 3 == 0]) for i in range(700)]
+    docs = edge_docs(spark, rows)
+    h = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64(F.lit(29), mx.content_hash(docs)).alias("h")).collect()}
+    out, plan = mx.mix(docs, F.array(mx.source_key()), mx.repeating_weights, per_bucket=40, tail=8)
+    got = {r.doc_id: r for r in out.collect()}
+    for pattern, members, flow in plan["flows"]:
+        own = sorted((h[d], got[d].size, d) for d in got if got[d].pattern == pattern)
+        whole, room = divmod(sum(flow.values()), sum(s for _, s, _ in own))
+        begin, best = brute_choice([(k, s) for k, s, _ in own], room, 8)
+        extra = [got[d].times - whole for _, _, d in own]
+        assert extra[:begin] == [1] * begin and not any(extra[begin + 12 :])
+        assert sum(s for (_, s, _), e in zip(own[begin : begin + 12], extra[begin : begin + 12]) if e) == best
+
+
+def test_fill_with_very_long_texts():
+    sizes = [3_000_000, 5, 9, 8_000_000, 2_500_000, 4]
+    got = fill(sizes, 5_500_018)
+    assert sum(s for s, t in zip(sizes, got) if t) == 5_500_018
+    assert choose([5_000_000_000, 3], 4, 48) == [False, True]
+
+
+def test_mixed_takes_rows_that_differ_elsewhere_for_themselves(spark):
+    rows = [(1, "a b c", "s1"), (1, "a b c", "s2"), (2, "d " * 40, "s1"), (2, "d " * 40, "s1"), (3, None, "s2"), (None, "e f", None)]
+    docs = edge_docs(spark, rows)
+    plan = [(r.doc_id, r.source_size, r.times) for r in mix_by_source(docs).collect()]
+    assert mixed(docs).count() == sum(t for _, _, t in plan) and mixed(docs).columns == docs.columns
+    clash = docs.withColumnRenamed("rank", "_row").withColumnRenamed("h", "_COPY").withColumnRenamed("run", "_times")
+    assert mixed(clash).columns == clash.columns and keep_one(clash, exact_dedup(clash)).columns == clash.columns
+
+
+def test_keep_one_of_conflicting_rows_is_the_same_in_any_order(spark):
+    rows = [(1, "a b", f"s{i}") for i in range(9)] + [(2, "a  b", "s0")]
+    kept = [keep_one(d, exact_dedup(d)).collect() for d in (edge_docs(spark, rows), edge_docs(spark, rows[::-1]))]
+    assert len(kept[0]) == 1 and kept[0][0].doc_id == 1 and kept[0] == kept[1]
+
+
+def test_repeated_rows_are_spread_over_buckets(spark):
+    from pyspark.sql import functions as F
+
+    from corvane.llm.common import hash_buckets
+
+    rows = spark.range(9000).select(F.when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.xxhash64("id")).alias("h"), F.xxhash64("id", F.lit(1)).alias("g")).cache()
+    got = rows.select("h", "g", hash_buckets(rows, 9000, 64).alias("b")).toPandas()
+    assert got.groupby("b").size().max() < 400 and got.sort_values(["h", "g"]).b.is_monotonic_increasing
+
+
+def test_shard_order_by_brute_force(spark):
+    rows = [(i % 90 if i % 7 else None, "w" * (i % 13), "abc"[i % 5 % 3]) for i in range(300)]
+    key = lambda r: hashlib.md5(f"17:{'-' if r[0] is None else r[0]}:{r[1]}".encode()).hexdigest()[:15]
+    ranked = []
+    for s in "abc":
+        own = sorted((key(r), r) for r in rows if r[2] == s)
+        ranked += [((2 * i + 1) / (2 * len(own)), s, h, r) for i, (h, r) in enumerate(own)]
+    want = sorted((str(r[0]), len(r[1]) + 8, i * 24 // 300, i - -(-(i * 24 // 300) * 300 // 24)) for i, (_, _, _, r) in enumerate(sorted(ranked, key=lambda x: x[:3])))
+    got = shard(edge_docs(spark, rows), per_bucket=8).select("doc_id", "size", "shard", "slot").collect()
+    assert sorted((str(r.doc_id), r.size, r.shard, r.slot) for r in got) == want
+
+
+def test_lookup_through_the_filters_of_the_runs(spark):
+    old = edge_docs(spark, [(i, f"text {i % 400}", "s") for i in range(900)])
+    new = edge_docs(spark, [(5000 + i, f"text {i * 3}", "s") for i in range(300)] + [(None, "text 7", None), (None, "text 7", None), (6000, None, None)])
+    runs = ed.write_runs(old, memtable_rows=50)
+    want = sorted((str(5000 + i), i * 3) for i in range(300) if i * 3 < 400) + [("None", 7), ("None", 7)]
+    for most in (1 << 26, 0):
+        assert sorted((str(r.doc_id), r.keep_id) for r in ed.lookup(runs, new, most).collect()) == sorted(want)
+    footers = runs.where("seq = -1").collect()
+    assert len(footers) >= 18 and all(bytes(f["digest"]) <= bytes(f["last"]) and f["filter"] for f in footers)
+
+
+def test_merged_runs_equal_an_aggregation(spark):
+    from pyspark.sql import functions as F
+
+    docs = edge_docs(spark, [(i if i % 11 else None, f"t{i * i % 700}", "s") for i in range(3000)] + [(i, f"alone {i}", "s") for i in range(4000, 4500)])
+    runs = ed.write_runs(docs, memtable_rows=70, entry_ids=2)
+    level = ed.compact(runs, range_entries=100)
+    want = runs.where("seq >= 0").groupBy("digest").agg(F.sum("n").alias("n"), F.min("min_id").alias("min_id"))
+    got = level.where("filter is null")
+    assert sorted(map(str, got.select("digest", "n", "min_id").collect())) == sorted(map(str, want.collect()))
+    index = ed.Runs([(bytes(r["digest"]), bytes(r["last"]), bytes(r["filter"])) for r in level.where("filter is not null").collect()])
+    for hits, least, most in (("n > 1", 1.0, 1.0), ("n = 1", 0.0, 0.1)):
+        import numpy as np
+
+        own = b"".join(bytes(r["digest"]) for r in got.where(hits).collect())
+        share = index.covering(np.frombuffer(own, np.uint8)).mean()
+        assert least <= share <= most

@@ -84,3 +84,84 @@ def test_removals_beside_text_first_seen_here(spark):
     for r in repeated_passages(edge_docs(spark, [(i, t, "s") for i, t in enumerate(texts)])).where("not kept").collect():
         got[r.doc_id] |= set(range(r.start, r.end))
     assert not got[0] and got[1] == want[1] and got[2] == want[2]
+
+
+def brute_passages(rows, mean=32, most=512, least=112):
+    """Passages by hand: every occurrence of every chunk, owners in the order of identifier and text hash."""
+    from collections import Counter
+
+    spans, held = [], defaultdict(list)
+    for i, (d, t, _) in enumerate(rows):
+        raw = (t or "").encode()
+        ends = chunk_ends(np.array([0, len(raw)]), np.frombuffer(raw, np.uint8), mean, most).tolist() if raw else []
+        spans.append(list(zip([0, *ends[:-1]], ends)))
+        for s, e in spans[-1]:
+            held[raw[s:e]].append((d is None, d or 0, i))
+    owner = {c: min(v) for c, v in held.items() if len({x[2] for x in v}) > 1}
+    out = Counter()
+    for i, (d, t, _) in enumerate(rows):
+        raw = (t or "").encode()
+        runs = []
+        for s, e in spans[i]:
+            if raw[s:e] in owner:
+                if not runs or runs[-1][-1][1] != s:
+                    runs.append([])
+                runs[-1].append((s, e, owner[raw[s:e]][2] == i))
+        for run in runs:
+            if run[-1][1] - run[0][0] < least:
+                continue
+            parts = []
+            for s, e, own in run:
+                if parts and parts[-1][3] == own:
+                    parts[-1][1], parts[-1][2] = e, parts[-1][2] + 1
+                else:
+                    parts.append([s, e, 1, own])
+            out.update((d, s, e, e - s, n, own) for s, e, n, own in parts)
+    return out
+
+
+def test_equals_brute_force_in_any_order(spark):
+    from collections import Counter
+
+    pick = random.Random(21)
+    pool = [words(pick, pick.choice([12, 30, 60])) + " " for _ in range(30)]
+    rows = [(i if i % 9 else None, "".join(pick.choices(pool, k=pick.choice([1, 2, 5]))) + (words(pick, 50) if i % 2 else "") + (f"{i} " * 40 if i % 9 == 0 else ""), "s") for i in range(70)]
+    rows += [(200, rows[3][1], "s"), (200, rows[3][1], "s"), (201, None, "s"), (202, pool[0] * 9, "s")]
+    want = None
+    for order in (rows, rows[::-1]):
+        got = Counter(tuple(r) for r in repeated_passages(edge_docs(spark, order)).select("doc_id", "start", "end", "n_bytes", "n_chunks", "kept").collect())
+        if want is None:
+            nulls = sorted((r for r in rows if r[0] is None), key=lambda r: r[1])
+            assert len(nulls) > 5
+            with_id = lambda c: Counter({k: n for k, n in c.items() if k[0] is not None})
+            brute = brute_passages(rows)
+            # rows without an identifier come last, so they own nothing that a row with one has
+            assert with_id(got) == with_id(brute) and sum(got.values()) >= 40
+            want = got
+        assert got == want
+
+
+def test_each_repeated_chunk_stays_in_one_document(spark):
+    pick = random.Random(4)
+    pool = [words(pick, 60) + " " for _ in range(12)]
+    rows = [(i, "".join(pick.sample(pool, 4)), "s") for i in range(30)]
+    left = defaultdict(set)
+    removed = defaultdict(set)
+    found = defaultdict(set)
+    for r in repeated_passages(edge_docs(spark, rows)).collect():
+        found[r.doc_id] |= set(range(r.start, r.end))
+        if not r.kept:
+            removed[r.doc_id] |= set(range(r.start, r.end))
+    for i, t, _ in rows:
+        ends = chunk_ends(np.array([0, len(t)]), np.frombuffer(t.encode(), np.uint8), 32, 512).tolist()
+        for s, e in zip([0, *ends[:-1]], ends):
+            if s in found[i]:
+                left[t[s:e]] |= {i} - ({i} if s in removed[i] else set())
+    assert len(left) > 50 and {len(v) for v in left.values()} == {1}
+
+
+def test_far_identifiers_and_clashing_columns(spark):
+    text = words(random.Random(2), 90)
+    docs = spark.createDataFrame([(2**62, text, 1, 1, 1), (-(2**62), text, 1, 1, 1), (None, text, 1, 1, 1)], "doc_id long, text string, rid int, digest int, at int")
+    got = {r.doc_id: r.kept for r in repeated_passages(docs).collect()}
+    assert got == {2**62: False, -(2**62): True, None: False}
