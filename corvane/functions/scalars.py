@@ -62,6 +62,20 @@ def has(s: Column, words: list[str]) -> Column:
     return F.lower(s).rlike(any_of(words))
 
 
+def r2(x: Column) -> Column:
+    """Two places, halves to the even digit."""
+    return F.rint(x * 100) / 100
+
+
+def position(x: Column, cuts: list[float]) -> Column:
+    """How many of the ascending cuts are below x, by binary search."""
+    if not cuts:
+        return F.lit(0)
+    held = F.split(F.lit(",".join(map(repr, cuts))), ",").cast("array<double>")
+    steps = F.array(*[F.lit(1 << k) for k in range(len(cuts).bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.coalesce(F.get(held, at + s - 1) < x, F.lit(False)), at + s).otherwise(at))
+
+
 def cents(price: Column) -> Column:
     return F.rint(price * 100).cast("long")
 
@@ -103,7 +117,7 @@ def zone_prices(low: Column, high: Column, ratios: dict = ZONE_RATIO) -> Column:
     """array of (zone, price): the price range dealt to the zones."""
     top = F.when(high <= 0, low).otherwise(high)
     a, b = F.least(low, top), F.greatest(low, top)
-    return F.array(*[F.struct(F.lit(z).alias("zone"), r4(a + (b - a) * r).alias("price")) for z, r in ratios.items()])
+    return F.array(*[F.struct(F.lit(z).alias("zone"), r2(a + (b - a) * r).alias("price")) for z, r in ratios.items()])
 
 
 def section_level(section: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.functions import scalars as S
+from corvane.operators.stats import exact_percentiles
 
 REQUIRED = {"listings": ["event_id", "timestamp", "section", "listing_price"], "events": ["event_id", "event_type", "event_datetime", "artist_or_team", "venue_name", "city"], "snapshots": ["event_id", "seat_zone", "timestamp", "price_min"]}
 ZONES = ["floor_vip", "lower_tier", "upper_tier", "balcony"]
@@ -82,10 +83,10 @@ def normalised_text(df: DataFrame) -> DataFrame:
 
 def flag_outliers(df: DataFrame, price: str = "listing_price", low: float = 1.0, high: float = 50_000.0, k: float = 1.5) -> DataFrame:
     """is_outlier, outlier_reason: outside [low, high] first, then outside the quartiles by k times their distance."""
-    q = df.agg(F.percentile(price, [0.25, 0.75]).alias("q")).collect()[0]["q"]
+    q = exact_percentiles(df, price, [0.25, 0.75])
     p = F.col(price)
     reason = F.when(p < low, "below_min").when(p > high, "above_max")
-    if q:
+    if q[0] is not None:
         a, b = q[0] - k * (q[1] - q[0]), q[1] + k * (q[1] - q[0])
         reason = reason.when(p < a, "iqr_low").when(p > b, "iqr_high")
     return df.withColumn("outlier_reason", reason).withColumn("is_outlier", reason.isNotNull())
@@ -102,7 +103,11 @@ def flag_duplicates(df: DataFrame, hours: float = 6.0, key: list[str] | None = N
     """
     key = key or DUPLICATE_KEY
     hard = [k for k in key if not k.startswith("seat_")]
-    df = df.withColumn("_id", F.monotonically_increasing_id()) if seq not in df.columns else df
+    if seq not in df.columns:  # a row is named by what it holds and, if it is repeated in full, by its turn
+        content = F.sha2(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), 256)
+        named = df.withColumn("_content", content)
+        named = named.withColumn(seq, F.concat_ws("-", "_content", F.row_number().over(W.partitionBy("_content").orderBy("_content")))).drop("_content")
+        return flag_duplicates(named, hours, key, seq).drop(seq).select(*df.columns, "is_duplicate")
     soft = [F.coalesce(k, F.lit("")).alias(f"_{k}") for k in key if k not in hard]
     whole = F.lit(True)
     for k in hard:
@@ -147,7 +152,7 @@ def zoned(df: DataFrame) -> DataFrame:
 
 def timed(df: DataFrame) -> DataFrame:
     """hour_of_day, fractional days_to_event (two places) and is_weekend."""
-    days = F.bround(S.seconds(F.col("event_datetime"), F.col("timestamp")) / 86400, 2)
+    days = S.r2(S.seconds(F.col("event_datetime"), F.col("timestamp")) / 86400)
     return df.withColumns({"hour_of_day": F.hour("timestamp"), "days_to_event": days, "is_weekend": F.weekday("event_datetime").isin(5, 6)})
 
 

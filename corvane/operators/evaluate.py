@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corvane.operators.stats import side_by_side
+from corvane.operators.stats import exact_percentiles, side_by_side
 
 
 def regression(df: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
@@ -19,7 +19,7 @@ def regression(df: DataFrame, actual: str = "actual", predicted: str = "predicte
 
 
 def by_quartile(df: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
-    q = df.agg(F.percentile(actual, [0.25, 0.5, 0.75]).alias("q")).collect()[0]["q"] or [0.0, 0.0, 0.0]
+    q = [x or 0.0 for x in exact_percentiles(df, actual, [0.25, 0.5, 0.75])]
     y = F.col(actual)
     quartile = F.when(y <= q[0], "Q1").when(y <= q[1], "Q2").when(y <= q[2], "Q3").otherwise("Q4")
     return df.groupBy(quartile.alias("quartile")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(y - F.col(predicted))).alias("mae"))
@@ -32,7 +32,7 @@ def by_zone(df: DataFrame, zone: str, actual: str = "actual", predicted: str = "
 def seen_breakdown(df: DataFrame, train: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
     """One row: mae over all, over rows of seen and unseen events, over the top (at least 0.9 p95); share of unseen events among distinct events."""
     seen = train.where("event_id is not null").select("event_id").distinct().withColumn("_seen", F.lit(True))
-    top = 0.9 * (df.agg(F.percentile(actual, 0.95)).collect()[0][0] or 0.0)
+    top = 0.9 * (exact_percentiles(df, actual, [0.95])[0] or 0.0)
     e = F.abs(F.col(actual) - F.col(predicted))
     rows = df.join(seen, "event_id", "left").withColumn("_seen", F.coalesce("_seen", F.lit(False))).withColumn("_e", e)
     events = F.count_distinct("event_id")

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.functions import scalars as S
-from corvane.operators.stats import adjusted_skewness, bar_set, global_stats, lookup, price_stats, smooth, with_membership
+from corvane.operators.stats import adjusted_skewness, bar_set, exact_percentiles, global_stats, lookup, price_stats, smooth, with_membership
 
 
 def col_or(df: DataFrame, name: str, default) -> Column:
@@ -208,9 +208,10 @@ class ColdStart(Extractor):
         keyed = self._keyed(df, True).withColumn("_log", F.log1p(F.coalesce("listing_price", F.lit(0.0))))
         self.groups, self.parts = {}, {}
         for chain, (_, levels) in self.CHAINS.items():
+            # the event's parts in the finest groups, once; wider parts and the groups are sums of them
+            finest = keyed.groupBy(*levels[0], "_event").agg(F.count(F.lit(1)).alias("n"), F.sum("_log").alias("s")).persist()
             for i, keys in enumerate(levels):
-                # the event's parts first; the groups are sums of them
-                parts = keyed.groupBy(*keys, "_event").agg(F.count(F.lit(1)).alias("n"), F.sum("_log").alias("s"))
+                parts = finest if i == 0 else finest.groupBy(*keys, "_event").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
                 self.parts[chain, i] = parts
                 self.groups[chain, i] = parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
         self.members = bar_set(keyed.where("event_id is not null"), ["_event"])
@@ -447,7 +448,7 @@ class Interaction(Extractor):
     stage = "post"
 
     def fit(self, df):
-        self.median = (df.agg(F.median("venue_median_price")).collect()[0][0] if "venue_median_price" in df.columns else None) or 0.0
+        self.median = (exact_percentiles(df, "venue_median_price", [0.5])[0] if "venue_median_price" in df.columns else None) or 0.0
         return self
 
     def transform(self, df, is_train=False):

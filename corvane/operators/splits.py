@@ -9,19 +9,25 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.functions import scalars as S
+from corvane.operators.stats import exact_percentiles
 
 
-def ranked(df: DataFrame, order: list, to: str = "_rank", parts: int = 256) -> DataFrame:
-    """Adds a global rank from 1 without putting all rows into one task: ranks within value ranges plus their sums."""
+def ranked(df: DataFrame, order: list, to: str = "_rank", parts: int = 256, by: list[str] | None = None) -> DataFrame:
+    """Adds a rank from 1, global or within `by`, without putting all rows into one task: ranks within value ranges plus their sums."""
+    by = by or []
     lead = order[0]
     number = S.micros(F.col(lead)) if dict(df.dtypes)[lead].startswith("timestamp") else F.col(lead).cast("double")
     cuts = sorted(set(df.agg(F.percentile_approx(number, [k / parts for k in range(1, parts)], 10_000)).collect()[0][0] or []))
-    part = F.width_bucket(number, F.lit(float(cuts[0])), F.lit(float(cuts[-1])), F.lit(parts)) if len(cuts) > 1 and cuts[0] < cuts[-1] else F.lit(0)
-    df = df.withColumn("_part", F.coalesce(part, F.lit(-1)))
-    sums = df.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    inside = F.row_number().over(W.partitionBy("_part").orderBy(*order))
-    return df.withColumn("_in", inside).join(sums, "_part").withColumn(to, F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
+    cuts = [float(c) for c in cuts]
+    df = df.withColumn("_part", F.when(number.isNull(), -1).otherwise(S.position(number, cuts)))  # nulls come first
+    sums = df.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    inside = F.row_number().over(W.partitionBy(*by, "_part").orderBy(*order))
+    if by:  # a key may be null
+        key = F.struct(*[F.col(c) for c in by])
+        df, sums = df.withColumn("_key", F.xxhash64(key)), sums.withColumn("_key", F.xxhash64(key)).drop(*by)
+    df = df.withColumn("_in", inside)
+    return df.join(sums, ["_part", *(["_key"] if by else [])]).drop("_key").withColumn(to, F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
 
 
 def temporal_split(df: DataFrame, order: list, train: float = 0.7, val: float = 0.15) -> DataFrame:
@@ -33,8 +39,8 @@ def temporal_split(df: DataFrame, order: list, train: float = 0.7, val: float =
 
 def stratified_split(df: DataFrame, group: str, order: list, train: float = 0.7, val: float = 0.15, least: int = 10) -> DataFrame:
     """The temporal split within each group; groups of under `least` rows train; null groups are dropped."""
-    w = W.partitionBy(group)
-    df = df.where(F.col(group).isNotNull()).withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_r", F.row_number().over(w.orderBy(*order)))
+    df = df.where(F.col(group).isNotNull())
+    df = ranked(df, order, "_r", by=[group]).join(df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")), group)
     a = F.greatest(F.lit(1), F.floor(F.col("_n") * train))
     b = F.greatest(a + 1, F.floor(F.col("_n") * (train + val)))
     return df.withColumn("split", F.when(F.col("_n") < least, "train").when(F.col("_r") <= a, "train").when(F.col("_r") <= b, "val").otherwise("test")).drop("_n", "_r")
@@ -64,18 +70,20 @@ def contiguous_folds(df: DataFrame, group: str, folds: int = 5) -> DataFrame:
 
 
 def cap_price(df: DataFrame, q: float = 0.95, price: str = "listing_price") -> DataFrame:
-    cap = df.agg(F.percentile(price, q)).collect()[0][0]
+    cap = exact_percentiles(df, price, [q])[0]
     return df if cap is None else df.withColumn(price, F.least(F.col(price), F.lit(cap)))
 
 
 def winsorise(df: DataFrame, zone: str, price: str = "listing_price", least: int = 20) -> DataFrame:
     """Prices clipped to p2 and p98 of their zone; of small zones to p5 and p95 of all."""
-    g = df.agg(F.percentile(price, 0.05).alias("a"), F.percentile(price, 0.95).alias("b")).collect()[0]
-    by = df.where(F.col(zone).isNotNull()).groupBy(zone).agg(F.count(price).alias("_n"), F.percentile(price, 0.02).alias("_a"), F.percentile(price, 0.98).alias("_b"))
-    out = df.join(by, zone, "left")
-    use = F.col("_n") >= least
-    low, high = F.when(use, F.col("_a")).otherwise(F.lit(g["a"])), F.when(use, F.col("_b")).otherwise(F.lit(g["b"]))
-    return out.withColumn(price, F.least(F.greatest(F.col(price), low), high)).drop("_n", "_a", "_b")
+    sizes = {r[0]: r[1] for r in df.groupBy(zone).agg(F.count(price)).collect()}  # there are a handful of zones
+    low, high = (F.lit(x) for x in exact_percentiles(df, price, [0.05, 0.95], sum(sizes.values())))
+    for name, n in sizes.items():
+        if name is not None and n >= least:
+            a, b = exact_percentiles(df.where(F.col(zone) == name), price, [0.02, 0.98], n)
+            own = F.col(zone) == name
+            low, high = F.when(own, a).otherwise(low), F.when(own, b).otherwise(high)
+    return df.withColumn(price, F.least(F.greatest(F.col(price), low), high))
 
 
 def normalised(df: DataFrame, raw: Column, to: str = "weight") -> DataFrame:
@@ -93,7 +101,7 @@ def weights(df: DataFrame, how: str, price: str = "listing_price", artist: str =
     if how == "log_price":
         return normalised(df, F.log1p(p))
     if how == "inverse_price_quartile":
-        q = df.agg(F.percentile(price, [0.25, 0.5, 0.75]).alias("q")).collect()[0]["q"]
+        q = exact_percentiles(df, price, [0.25, 0.5, 0.75])
         quartile = sum((p > c).cast("int") for c in q[1:]) + (p > q[0]).cast("int")
         df = df.withColumn("_q", quartile)
         by = df.groupBy("_q").agg(F.count(F.lit(1)).alias("_n"))
@@ -120,6 +128,10 @@ class Target:
     def back(self, z: Column) -> Column:
         return z
 
+    def prepare(self, df: DataFrame, is_train: bool = False) -> DataFrame:
+        """df with the columns that forward and back need."""
+        return df
+
 
 class LogTarget(Target):
     def forward(self, y):
@@ -167,13 +179,13 @@ class BoxCoxTarget(Target):
         return F.greatest(raw - self.shift, F.lit(0.0))
 
 
-class RelativeTarget:
+class RelativeTarget(Target):
     """log1p(price) less its event's smoothed log mean; a training row's own price is taken out of the mean by cents."""
 
     def __init__(self, smoothing: float = 20):
         self.m = smoothing
 
-    def fit(self, df: DataFrame) -> RelativeTarget:
+    def fit(self, df: DataFrame, price: str = "listing_price") -> RelativeTarget:
         from corvane.operators.stats import bar_set
 
         self.g = df.agg(F.avg(F.log1p("listing_price"))).collect()[0][0] or 0.0
@@ -181,6 +193,15 @@ class RelativeTarget:
         self.members = bar_set(df.where("event_id is not null"), ["event_id"])
         return self
 
+    def prepare(self, df, is_train=False):
+        return self.base(df, is_train)
+
+    def forward(self, y):
+        return F.log1p(y) - F.col("target_base")
+
+    def back(self, z):
+        return F.greatest(F.expm1(z + F.col("target_base")), F.lit(0.0))
+
     def base(self, df: DataFrame, is_train: bool, cold: Column | None = None) -> DataFrame:
         """Adds `target_base`."""
         from corvane.operators.stats import lookup, with_membership

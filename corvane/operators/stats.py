@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corvane.functions.scalars import position
+
 
 def smooth(n, x, m: float, prior) -> Column:
     """(n x + m prior) / (n + m)."""
@@ -43,10 +46,43 @@ def side_by_side(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
+def exact_percentiles(df: DataFrame, column: str, probs: list[float], n: int | None = None, parts: int = 512, small: int = 1_000_000) -> list:
+    """The percentiles that F.percentile gives, without gathering all distinct values in one task where there may be many.
+
+    Approximate cuts split the values into ranges, the ranges are counted, and only those that hold a wanted rank are
+    looked into: by counts of their distinct values. Up to `small` rows one aggregation does it.
+    """
+    rows = df.select(F.col(column).cast("double").alias("x")).where("x is not null")
+    n = rows.count() if n is None else n
+    if n <= small:
+        return rows.agg(F.percentile("x", probs)).collect()[0][0] or [None] * len(probs)
+    cuts = sorted(set(rows.agg(F.percentile_approx("x", [k / parts for k in range(1, parts)], 20 * parts)).collect()[0][0]))
+    rows = rows.withColumn("part", position(F.col("x"), cuts))
+    counts = dict(rows.groupBy("part").agg(F.count(F.lit(1))).collect())
+    before, firsts = 0, {}
+    for part in sorted(counts):
+        firsts[part] = before
+        before += counts[part]
+    ranks = sorted({r for p in probs for r in (int((n - 1) * p), -int(-((n - 1) * p) // 1))})
+    of = {r: max(part for part, first in firsts.items() if first <= r) for r in ranks}
+    values = rows.where(F.col("part").isin(sorted(set(of.values())))).groupBy("part", "x").agg(F.count(F.lit(1)).alias("k"))
+    upto = F.sum("k").over(W.partitionBy("part").orderBy("x"))
+    hit = [(F.col("part") == part) & (F.col("upto") > r - firsts[part]) & (F.col("upto") - F.col("k") <= r - firsts[part]) for r, part in of.items()]
+    found = values.withColumn("upto", upto).select("x", F.array(*hit).alias("hit")).where(F.exists("hit", lambda h: h)).collect()
+    at = {r: row["x"] for row in found for r, h in zip(ranks, row["hit"], strict=True) if h}
+    out = []
+    for p in probs:
+        place = (n - 1) * p
+        low, high = int(place), -int(-place // 1)
+        out.append(at[low] if low == high or at[low] == at[high] else (high - place) * at[low] + (place - low) * at[high])
+    return out
+
+
 def global_stats(df: DataFrame, price: str = "listing_price") -> dict:
     p = F.col(price)
-    row = df.agg(F.avg(p).alias("mean"), F.median(p).alias("median"), F.stddev_samp(p).alias("std"), F.percentile(p, 0.75).alias("q75"), F.percentile(p, 0.25).alias("q25"), adjusted_skewness(p).alias("skew"), F.avg((p > 200).cast("double")).alias("premium"), F.count(p).alias("n")).collect()[0]
-    return {k: row[k] for k in row.asDict()} | {"mean": 150.0 if row["mean"] is None else row["mean"], "median": 150.0 if row["median"] is None else row["median"], "std": 50.0 if row["std"] is None else row["std"], "premium": 0.5 if row["premium"] is None else row["premium"]}
+    row = df.agg(F.avg(p).alias("mean"), F.stddev_samp(p).alias("std"), adjusted_skewness(p).alias("skew"), F.avg((p > 200).cast("double")).alias("premium"), F.count(p).alias("n")).collect()[0].asDict()
+    row["q25"], row["median"], row["q75"] = exact_percentiles(df, price, [0.25, 0.5, 0.75], row["n"])
+    return row | {"mean": 150.0 if row["mean"] is None else row["mean"], "median": 150.0 if row["median"] is None else row["median"], "std": 50.0 if row["std"] is None else row["std"], "premium": 0.5 if row["premium"] is None else row["premium"]}
 
 
 def bar_set(df: DataFrame, keys: list[str], price: str = "listing_price") -> DataFrame:

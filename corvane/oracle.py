@@ -12,6 +12,10 @@ def r4(x: str) -> str:
     return f"floor(({x}) * 10000 + 0.5003::DOUBLE) / 10000"
 
 
+def r2(x: str) -> str:
+    return f"round_even(({x}) * 100, 0) / 100"
+
+
 def words(column: str, of: list[str]) -> str:
     return f"regexp_matches(lower({column}), '{S.any_of(of)}')"
 
@@ -161,13 +165,13 @@ SQL["s28_marketplace_payloads"] = """SELECT 'm' || p_partkey AS event_id, p_part
 FACTOR = "CASE WHEN d > 60 THEN 1.0::DOUBLE WHEN d > 30 THEN 1.0::DOUBLE + 0.2::DOUBLE * (60 - d) / 30 WHEN d > 14 THEN 1.2::DOUBLE + 0.3::DOUBLE * (30 - d) / 16 WHEN d > 7 THEN 1.5::DOUBLE + 0.3::DOUBLE * (14 - d) / 7 ELSE 1.8::DOUBLE + (2.5::DOUBLE - 1.8::DOUBLE) * (7 - d) / 7 END"
 SQL["s33_synthetic_prices"] = f"""SELECT 'syn_c' || p_partkey AS event_id, z.zone AS seat_zone, CAST(d AS INTEGER) AS days_to_event, TIMESTAMP '1998-01-01 20:00:00' + to_days(CAST(p_partkey AS INTEGER)) - to_days(CAST(d AS INTEGER)) AS timestamp,
  {r4(f"(p_retailprice + (p_retailprice * 3 - p_retailprice) * z.ratio) * ({FACTOR}) * (1 + p_size / 50 * 0.5::DOUBLE) * 1.0::DOUBLE")} AS price_avg
- FROM part, (VALUES {", ".join(f"('{z}', {r}::DOUBLE)" for z, r in S.SYNTHETIC_ZONE_RATIO.items())}) AS z(zone, ratio), (SELECT unnest({DAYS}) AS d) WHERE p_partkey < 200"""
+ FROM part, (VALUES {", ".join(f"('{z}', {r}::DOUBLE)" for z, r in S.SYNTHETIC_ZONE_RATIO.items())}) AS z(zone, ratio), (SELECT unnest({DAYS}) AS d)"""
 
 # projections
 
 FLOOR_DAYS = f"CAST(floor({seconds('event_datetime', 'timestamp')} / 86400) AS BIGINT)"
 SQL["p01_listing_projection"] = listing_sql(
-    f"""listing_id, CAST(greatest(0, {FLOOR_DAYS}) AS INTEGER) AS days, CASE WHEN face_value > 0 THEN {r4('listing_price / face_value')} END AS markup_ratio,
+    f"""listing_id, CAST(greatest(0, {FLOOR_DAYS}) AS INTEGER) AS days, CASE WHEN face_value > 0 THEN {r2('listing_price / face_value')} END AS markup_ratio,
  CASE WHEN seat_from IS NULL THEN 'Section ' || section || ', Row ' || coalesce("row", '') WHEN seat_to IS NULL OR seat_from = seat_to THEN 'Section ' || section || ', Row ' || coalesce("row", '') || ', Seat ' || seat_from ELSE 'Section ' || section || ', Row ' || coalesce("row", '') || ', Seats ' || seat_from || '-' || seat_to END AS seat_description,
  listing_price * quantity AS total_price"""
 )
@@ -177,9 +181,9 @@ SQL["p06_keyword_filter"] = "SELECT p_partkey, p_name FROM part WHERE regexp_mat
 SQL["p10_geo_region"] = listing_sql(f"city, {city_name('city')} AS city_name, {country('city')} AS country, {region('city')} AS region_key, {city_tier('city')} AS city_tier, coalesce({case(folded('city'), S.CITY_NICKNAMES, '').replace(chr(39) * 2 + ' END', 'NULL END')}, {folded('city')}) AS nickname_city", distinct="DISTINCT ")
 SQL["p13_zone_map"] = listing_sql(f"section, {zone('section')} AS zone, {case('(' + zone('section') + ')', S.ZONE_RATIO, 0.5)}::DOUBLE AS ratio", distinct="DISTINCT ")
 SQL["p14_zone_prices"] = f"""WITH b AS (SELECT p_partkey, p_size * 10.0::DOUBLE AS low, CASE WHEN p_retailprice - 1000 <= 0 THEN p_size * 10.0::DOUBLE ELSE p_retailprice - 1000 END AS high FROM part)
- SELECT p_partkey, z.zone AS zone, {r4("least(low, high) + (greatest(low, high) - least(low, high)) * z.ratio")} AS price FROM b, (VALUES {", ".join(f"('{z}', {r}::DOUBLE)" for z, r in S.ZONE_RATIO.items())}) AS z(zone, ratio)"""
+ SELECT p_partkey, z.zone AS zone, {r2("least(low, high) + (greatest(low, high) - least(low, high)) * z.ratio")} AS price FROM b, (VALUES {", ".join(f"('{z}', {r}::DOUBLE)" for z, r in S.ZONE_RATIO.items())}) AS z(zone, ratio)"""
 SQL["p16_types"] = listing_sql("count(*) AS n, count(CASE WHEN quantity <> 3 THEN listing_price END) AS n_numbers")
-SQL["p18_temporal"] = listing_sql(f"listing_id, CAST(hour(timestamp) AS INTEGER) AS hour_of_day, {r4(seconds('event_datetime', 'timestamp') + ' / 86400')} AS days_exact, CASE WHEN isodow(event_datetime) >= 6 THEN 1 ELSE 0 END AS is_weekend")
+SQL["p18_temporal"] = listing_sql(f"listing_id, CAST(hour(timestamp) AS INTEGER) AS hour_of_day, {r2(seconds('event_datetime', 'timestamp') + ' / 86400')} AS days_exact, CASE WHEN isodow(event_datetime) >= 6 THEN 1 ELSE 0 END AS is_weekend")
 SQL["p19_zero_variance"] = "SELECT 'constant' AS column_name, CAST(1 AS BIGINT) AS n_distinct UNION ALL SELECT 'nothing', 0"
 _MESSAGES = {
     "errors": [("event_id is missing", "event_id IS NULL"), ("price is not positive", "listing_price IS NULL OR listing_price <= 0"), ("section is missing", "section IS NULL"), ("quantity is below 1", "quantity < 1"), ("timestamp is in the future", "timestamp > TIMESTAMP '2000-01-01'")],
@@ -235,8 +239,8 @@ SQL["w05_dedup_6h"] = with_(
 ).replace("WITH ", "WITH RECURSIVE ", 1) + ", f AS (SELECT seq, event_id, kind, r, t AS anchor, false AS dup FROM o WHERE r = 1 UNION ALL SELECT o.seq, o.event_id, o.kind, o.r, CASE WHEN o.t - f.anchor < 21600000000 THEN f.anchor ELSE o.t END, o.t - f.anchor < 21600000000 FROM f JOIN o ON o.event_id = f.event_id AND o.kind = f.kind AND o.r = f.r + 1) SELECT seq, dup AS is_duplicate FROM f"
 SQL["w08_rank_by_value"] = with_(L, TRAIN, "s AS (" + stats("event_id") + ")") + f"SELECT listing_id, event_id, CAST(row_number() OVER (PARTITION BY event_id ORDER BY s.median / listing_price DESC, listing_id) AS INTEGER) AS rank, {r4('s.median / listing_price')} AS value_score, {r4('s.median - listing_price')} AS savings_estimate FROM listings JOIN s USING (event_id) WHERE listing_price > 0"
 SQL["w09_coverage_cut"] = "WITH c AS (SELECT c_nationkey, CAST(count(*) AS DOUBLE) AS score FROM customer GROUP BY 1), r AS (SELECT *, CAST(row_number() OVER w AS INTEGER) AS rank, coalesce(sum(score) OVER (ORDER BY score DESC, c_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(score) OVER () AS total FROM c WINDOW w AS (ORDER BY score DESC, c_nationkey)) SELECT c_nationkey, score, rank FROM r WHERE before < 0.8::DOUBLE * total OR rank <= 3"
-SQL["w10_stall"] = "WITH l AS (SELECT o_orderkey AS seq, o_orderkey % 3 / 10 AS mae FROM orders WHERE o_orderkey < 40 ORDER BY seq DESC LIMIT 4), g AS (SELECT lag(mae) OVER (ORDER BY seq) - mae AS gain FROM l) SELECT count(*) AS n_runs, count(*) >= 4 AND count(*) FILTER (gain < 1.0) = 3 AS stalled FROM g"
-SQL["w12_round_robin"] = "WITH t AS (SELECT c_custkey, c_mktsegment, CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS INTEGER) AS turn FROM customer WHERE c_custkey < 300) SELECT *, CAST(row_number() OVER (ORDER BY turn, c_mktsegment) AS INTEGER) AS position FROM t"
+SQL["w10_stall"] = "WITH l AS (SELECT o_orderkey AS seq, o_orderkey % 3 / 10 AS mae FROM orders ORDER BY seq DESC LIMIT 4), g AS (SELECT lag(mae) OVER (ORDER BY seq) - mae AS gain FROM l) SELECT count(*) AS n_runs, count(*) >= 4 AND count(*) FILTER (gain < 1.0) = 3 AS stalled FROM g"
+SQL["w12_round_robin"] = "WITH t AS (SELECT c_custkey, c_mktsegment, CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS INTEGER) AS turn FROM customer) SELECT *, CAST(row_number() OVER (ORDER BY turn, c_mktsegment) AS INTEGER) AS position FROM t"
 
 # scalars
 
@@ -437,7 +441,7 @@ _Q = "q AS (SELECT quantile_cont(listing_price, 0.25) AS q1, quantile_cont(listi
 _A = "ac AS (SELECT artist_or_team, count(DISTINCT event_id) AS an FROM train GROUP BY 1), am AS (SELECT median(an) AS amid FROM ac), t3 AS (SELECT t2.*, an, amid FROM t2 JOIN ac USING (artist_or_team), am)"
 for _h, _x in _RAW.items():
     SQL[f"k11_weights_{_h}"] = with_(L, TRAIN, _Q, _A, f"w AS (SELECT listing_id, {_x} AS w FROM t3)", "s AS (SELECT count(*) / sum(w) AS f FROM w)") + f"SELECT listing_id, {r4('w * f')} AS weight FROM w, s"
-SQL["k12_coverage_buckets"] = with_(L, "n AS (SELECT artist_or_team, count(DISTINCT event_id) AS n FROM listings WHERE event_datetime < TIMESTAMP '1998-01-15' GROUP BY 1)") + "SELECT CASE WHEN n = 1 THEN '1' WHEN n <= 3 THEN '2-3' WHEN n <= 10 THEN '4-10' ELSE '11+' END AS bucket, count(*) AS artists FROM n GROUP BY 1"
+SQL["k12_coverage_buckets"] = with_(L, "n AS (SELECT artist_or_team, count(DISTINCT event_id) AS n FROM listings GROUP BY 1)") + "SELECT CASE WHEN n = 1 THEN '1' WHEN n <= 3 THEN '2-3' WHEN n <= 10 THEN '4-10' ELSE '11+' END AS bucket, count(*) AS artists FROM n GROUP BY 1"
 SQL["k12_city_months"] = listing_sql("city || ' | ' || strftime(event_datetime, '%Y-%m') AS city_month, count(DISTINCT event_id) AS events, count(DISTINCT event_id) < 5 AS thin", "", "GROUP BY 1")
 SQL["k13_low_count_gate"] = with_(L, "p AS (SELECT artist_or_team, count(DISTINCT event_id) AS n FROM listings WHERE is_train AND artist_or_team <> 'Brand#7' GROUP BY 1)", "c AS (SELECT quantile_cont(n, 0.3) AS cut FROM p)", "t AS (SELECT DISTINCT artist_or_team FROM listings WHERE NOT is_train)") + "SELECT artist_or_team, coalesce(n, 0) AS train_events, coalesce(n, 0) <= cut AS gate_on, coalesce(n, 0) = 0 AS unseen FROM t LEFT JOIN p USING (artist_or_team), c"
 _LOO = f"CASE WHEN n = 1 THEN g ELSE (s - ln(1 + listing_price) + 20 * g) / (n - 1 + 20) END"
