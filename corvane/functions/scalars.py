@@ -80,6 +80,11 @@ def cents(price: Column) -> Column:
     return F.rint(price * 100).cast("long")
 
 
+def title_artist(title):
+    """What stands before the first " at " of a listing's title; the whole title without one."""
+    return F.substring_index(title, " at ", 1)
+
+
 def floor_days(later: Column, earlier: Column) -> Column:
     """Whole days between, negative ones downwards."""
     return F.floor(seconds(later, earlier) / 86400)

@@ -41,6 +41,55 @@ def validated_listings(df: DataFrame, now: Column) -> DataFrame:
     return df.withColumn("errors", messages(errors)).withColumn("warnings", messages(warnings)).withColumn("is_valid", F.size("errors") == 0)
 
 
+def _empty(df: DataFrame, name: str) -> Column:
+    """Null, empty or not a column at all."""
+    return F.col(name).isNull() | (F.col(name) == "") if name in df.columns else F.lit(True)
+
+
+def _checked(df: DataFrame, errors: dict[str, Column], warnings: dict[str, Column]) -> DataFrame:
+    return df.withColumn("errors", messages(errors)).withColumn("warnings", messages(warnings)).withColumn("is_valid", F.size("errors") == 0)
+
+
+def validated_events(df: DataFrame, now: Column, venue: str = "venue_id", allow_past: bool = False) -> DataFrame:
+    """errors, warnings and is_valid of event rows; a past event is only a warning."""
+    errors = {"event_id is empty": _empty(df, "event_id"), "venue is empty": _empty(df, venue)}
+    if "venue_capacity" in df.columns:
+        errors["capacity is negative"] = F.col("venue_capacity") < 0
+    past = F.lit(False) if allow_past else F.col("event_datetime") < now
+    return _checked(df, errors, {"artist is empty": _empty(df, "artist_or_team"), "city is empty": _empty(df, "city"), "event is past": past})
+
+
+def validated_snapshots(df: DataFrame, now: Column) -> DataFrame:
+    """errors, warnings and is_valid of snapshot rows: prices in order, nothing negative; null prices break no order."""
+    low, mid, high = F.col("price_min"), F.col("price_avg"), F.col("price_max")
+    errors = {"event_id is empty": _empty(df, "event_id"), "average is below minimum": mid < low, "maximum is below minimum": high < low, "average is above maximum": mid > high}
+    for c in ("days_to_event", "inventory_remaining"):
+        if c in df.columns:
+            errors[f"{c} is negative"] = F.col(c) < 0
+    return _checked(df, errors, {"timestamp is in the future": F.col("timestamp") > now})
+
+
+def offending(df: DataFrame, broken: Column, key: str, first: int = 100) -> DataFrame:
+    """The least identifiers of rows that break a rule, `first` at most: a report, not the set of all of them."""
+    return df.where(F.coalesce(broken, F.lit(False))).select(key).orderBy(key).limit(first)
+
+
+#: Types that a column may have, by family.
+FAMILIES = {"time": ("timestamp", "timestamp_ntz", "date"), "float": ("double", "float", "decimal", "tinyint", "smallint", "int", "bigint"), "int": ("tinyint", "smallint", "int", "bigint"), "text": ("string",)}
+EXPECTED = {"timestamp": "time", "event_datetime": "time", "listing_price": "float", "face_value": "float", "price_min": "float", "price_avg": "float", "price_max": "float", "quantity": "int", "event_id": "text", "section": "text", "city": "text"}
+
+
+def type_issues(df: DataFrame, expected: dict[str, str] | None = None) -> list[str]:
+    """Columns whose type isn't of the family expected; whole numbers pass as floats. Read off the schema alone."""
+    kinds = dict(df.dtypes)
+    return [f"column {c} has type {kinds[c]}, not {f}" for c, f in (expected or EXPECTED).items() if c in kinds and kinds[c].split("(")[0] not in FAMILIES[f]]
+
+
+def mostly_null(df: DataFrame, columns: list[str], most: float = 0.5) -> DataFrame:
+    """Columns of which more than `most` is null."""
+    return null_rates(df, columns).where(F.col("null_rate") > most)
+
+
 def batch_summary(df: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
     bad = F.count_if(~F.col("is_valid"))
@@ -70,10 +119,10 @@ def referential(df: DataFrame, events: DataFrame | None, zone: str | None = None
     return df.agg(section.alias("empty_sections"), zones.alias("invalid_zones"), orphans.alias("orphans"))
 
 
-def temporal(df: DataFrame, now: Column) -> DataFrame:
-    """One row: future times, past events, days_to_event off by two or more."""
+def temporal(df: DataFrame, now: Column, allow_past: bool = False) -> DataFrame:
+    """One row: future times, past events (0 where they are allowed), days_to_event off by two or more."""
     off = F.abs(S.floor_days(F.col("event_datetime"), F.col("timestamp")) - F.col("days_to_event")) >= 2
-    return df.agg(F.count_if(F.col("timestamp") > now).alias("future_times"), F.count_if(F.col("event_datetime") < now).alias("past_events"), F.count_if(off).alias("days_off"))
+    return df.agg(F.count_if(F.col("timestamp") > now).alias("future_times"), (F.lit(0).cast("long") if allow_past else F.count_if(F.col("event_datetime") < now)).alias("past_events"), F.count_if(off).alias("days_off"))
 
 
 def normalised_text(df: DataFrame) -> DataFrame:

@@ -102,6 +102,13 @@ def low_count_gate(train: DataFrame, test: DataFrame, share: float = 0.3) -> Dat
     return out.select("artist_or_team", n.alias("train_events"), (n <= cut).alias("gate_on"), (n == 0).alias("unseen"))
 
 
+def flag_auc(df: DataFrame, flag: str, label: str) -> DataFrame:
+    """One row, auc: the area under the curve of a 0/1 feature, which has one corner; null with one class only."""
+    f, y = F.col(flag).cast("double"), F.col(label).cast("double")
+    hit, false = F.avg(F.when(y == 1, f)), F.avg(F.when(y == 0, f))
+    return df.agg((0.5 + (hit - false) / 2).alias("auc"))
+
+
 def asymmetric_huber(error: Column, delta: float = 1.0, under: float = 2.0) -> Column:
     """Loss of an error (actual less predicted); underestimates weigh `under` times."""
     a = F.abs(error)

@@ -192,6 +192,28 @@ _MESSAGES = {
 VALID = "checked AS (SELECT *, " + ", ".join("concat_ws(';', " + ", ".join(f"CASE WHEN {c} THEN '{m}' END" for m, c in rules) + f") AS {name}" for name, rules in _MESSAGES.items()) + " FROM listings)"
 SQL["p22_validation"] = with_(L, VALID) + "SELECT errors, warnings, count(*) AS n FROM checked GROUP BY ALL"
 SQL["p22_batch_summary"] = with_(L, VALID) + f"SELECT count(*) AS n, count(*) FILTER (errors = '') AS n_valid, count(*) FILTER (errors <> '') AS n_invalid, count(*) FILTER (warnings <> '') AS n_warned, {r4('count(*) FILTER (errors <> ' + chr(39) * 2 + ') / count(*)')} AS error_rate FROM checked"
+_EVENT_RULES = {"errors": [("event_id is empty", "event_id IS NULL"), ("venue is empty", "venue_name IS NULL")], "warnings": [("city is empty", "event_type = 'sports' OR city IS NULL OR city = ''"), ("event is past", "event_datetime < TIMESTAMP '2000-01-01'")]}
+_TOP = "CASE WHEN seq % 5 = 0 THEN price_min * 0.9 ELSE price_max END"
+_SNAPSHOT_RULES = {
+    "errors": [("average is below minimum", "price_avg < price_min"), ("maximum is below minimum", f"{_TOP} < price_min"), ("average is above maximum", f"price_avg > {_TOP}"), ("inventory_remaining is negative", "inventory_remaining < 0")],
+    "warnings": [("timestamp is in the future", "timestamp > TIMESTAMP '2024-01-16'")],
+}
+
+
+def _counted(rules: dict, rows: str) -> str:
+    return "SELECT " + ", ".join("concat_ws(';', " + ", ".join(f"CASE WHEN {c} THEN '{m}' END" for m, c in r) + f") AS {name}" for name, r in rules.items()) + f", count(*) AS n FROM {rows} GROUP BY ALL"
+
+
+_ONE_EVENT = "e AS (SELECT event_id, min(event_type) AS event_type, min(event_datetime) AS event_datetime, min(venue_name) AS venue_name, min(city) AS city FROM listings GROUP BY 1)"
+SQL["p22_event_validation"] = with_(L, _ONE_EVENT) + _counted(_EVENT_RULES, "e")
+SQL["p22_snapshot_validation"] = with_(SNAPSHOTS_SQL) + _counted(_SNAPSHOT_RULES, "snapshots")
+SQL["t05_offending_rows"] = listing_sql("listing_id", 'WHERE "row" IS NULL', "ORDER BY listing_id LIMIT 100")
+SQL["s06_event_lookup"] = with_(L, _ONE_EVENT) + "SELECT event_id, event_type, event_datetime, city FROM e WHERE event_id = 'E7'"
+SQL["s08_event_ids"] = listing_sql("DISTINCT event_id")
+SQL["s18_listing_event_ids"] = listing_sql("DISTINCT event_id")
+SQL["s20_load_snapshots"] = with_(SNAPSHOTS_SQL) + "SELECT event_id, seat_zone, timestamp, price_min, price_avg, price_max, CAST(inventory_remaining AS DOUBLE) AS inventory_remaining FROM snapshots"
+SQL["f19_title_artist"] = "SELECT p_partkey, split_part(p_brand || CASE WHEN p_partkey % 3 = 0 THEN ' live' ELSE ' at ' END || p_name, ' at ', 1) AS artist FROM part"
+SQL["k13_gate_auc"] = listing_sql(r4('0.5 + (avg(CAST("row" IS NULL AS DOUBLE)) FILTER (is_train) - avg(CAST("row" IS NULL AS DOUBLE)) FILTER (NOT is_train)) / 2') + " AS auc")
 SQL["p23_null_rates"] = with_(L) + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) - count(\"{c}\") AS n_null, {r4(f'(count(*) - count({chr(34)}{c}{chr(34)})) / count(*)')} AS null_rate FROM listings" for c in ("event_id", "row", "seat_from", "face_value", "days_to_event"))
 SQL["p24_referential"] = with_(L, EVENTS) + "SELECT count(*) FILTER (section IS NULL OR section = '') AS empty_sections, CAST(0 AS BIGINT) AS invalid_zones, count(*) FILTER (event_id NOT IN (SELECT event_id FROM ev WHERE event_type <> 'sports')) AS orphans FROM listings"
 SQL["p25_temporal_validation"] = listing_sql(f"count(*) FILTER (timestamp > TIMESTAMP '2000-01-01') AS future_times, count(*) FILTER (event_datetime < TIMESTAMP '2000-01-01') AS past_events, count(*) FILTER (abs({FLOOR_DAYS} - days_to_event) >= 2) AS days_off")

@@ -72,6 +72,32 @@ def s07_events_filter(spark, sf_dir):
     return store.events(listings(spark, sf_dir)).where("event_type = 'sports' AND event_datetime BETWEEN timestamp_ntz'1998-06-01' AND timestamp_ntz'1999-06-01'").select("event_id", "event_type", "event_datetime", "city")
 
 
+@query
+def s06_event_lookup(spark, sf_dir):
+    return store.event(store.events(listings(spark, sf_dir)), "E7").select("event_id", "event_type", "event_datetime", "city")
+
+
+@query
+def s08_event_ids(spark, sf_dir):
+    return store.event_ids(store.events(listings(spark, sf_dir)))
+
+
+@query
+def s18_listing_event_ids(spark, sf_dir):
+    return store.event_ids(listings(spark, sf_dir), distinct=True)
+
+
+@query
+def s20_load_snapshots(spark, sf_dir):
+    return store.load_snapshots(snapshots(spark, sf_dir)).withColumn("inventory_remaining", F.col("inventory_remaining").cast("double")).drop("days_to_event")
+
+
+@query
+def f19_title_artist(spark, sf_dir):
+    title = F.concat("p_brand", F.when(F.col("p_partkey") % 3 == 0, " live").otherwise(" at "), "p_name")
+    return table(spark, sf_dir, "part").select("p_partkey", S.title_artist(title).alias("artist"))
+
+
 @query
 def s11_latest_snapshot(spark, sf_dir):
     return store.latest(snapshots(spark, sf_dir), ["event_id", "seat_zone"], "timestamp", "seq").select("event_id", "seat_zone", "timestamp", "price_avg", F.col("inventory_remaining").cast("double").alias("inventory_remaining"))
@@ -190,6 +216,25 @@ def p22_batch_summary(spark, sf_dir):
     return out.withColumn("error_rate", S.r4(F.col("error_rate")))
 
 
+@query
+def p22_event_validation(spark, sf_dir):
+    rows = store.events(listings(spark, sf_dir)).withColumn("city", F.expr("CASE WHEN event_type = 'sports' THEN '' ELSE city END"))
+    out = cleaning.validated_events(rows, F.expr(NOW), venue="venue_name")
+    return out.groupBy(F.array_join("errors", ";").alias("errors"), F.array_join("warnings", ";").alias("warnings")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def p22_snapshot_validation(spark, sf_dir):
+    rows = snapshots(spark, sf_dir).withColumn("price_max", F.expr("CASE WHEN seq % 5 = 0 THEN price_min * 0.9 ELSE price_max END"))
+    out = cleaning.validated_snapshots(rows, F.expr("timestamp_ntz'2024-01-16 00:00:00'"))
+    return out.groupBy(F.array_join("errors", ";").alias("errors"), F.array_join("warnings", ";").alias("warnings")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def t05_offending_rows(spark, sf_dir):
+    return cleaning.offending(listings(spark, sf_dir), F.col("row").isNull(), "listing_id")
+
+
 @query
 def p23_null_rates(spark, sf_dir):
     out = cleaning.null_rates(listings(spark, sf_dir), ["event_id", "row", "seat_from", "face_value", "days_to_event"])
@@ -559,6 +604,12 @@ def k13_low_count_gate(spark, sf_dir):
     return evaluate.low_count_gate(rows.where("is_train and artist_or_team <> 'Brand#7'"), rows.where("not is_train"))
 
 
+@query
+def k13_gate_auc(spark, sf_dir):
+    rows = listings(spark, sf_dir).withColumn("unrowed", F.col("row").isNull())
+    return evaluate.flag_auc(rows, "unrowed", "is_train").select(S.r4(F.col("auc")).alias("auc"))
+
+
 @query
 def g04_relative_target(spark, sf_dir):
     rows = listings(spark, sf_dir)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -77,6 +79,49 @@ def insert_events(new: DataFrame, stored: DataFrame) -> DataFrame:
     return new.join(stored.select("event_id").distinct(), "event_id", "left_anti")
 
 
+def as_rows(df: DataFrame) -> DataFrame:
+    """Rows as they are stored: times without a zone are taken as UTC (the session's zone must be UTC)."""
+    return df.select(*[F.col(c).cast("timestamp").alias(c) if t == "timestamp_ntz" else F.col(c) for c, t in df.dtypes])
+
+
+def event(stored: DataFrame, event_id: str) -> DataFrame:
+    """The event of that identifier (no row if there is none; of repeated ones the earliest date, then the least name)."""
+    order = [c for c in ("event_datetime", "artist_or_team", "venue_name") if c in stored.columns]
+    return stored.where(F.col("event_id") == event_id).orderBy(*order).limit(1)
+
+
+def event_ids(stored: DataFrame, distinct: bool = False) -> DataFrame:
+    """Identifiers of the stored rows, one a row, or each once."""
+    out = stored.select("event_id")
+    return out.distinct() if distinct else out
+
+
+SNAPSHOT_COLUMNS = {"event_id": "string", "seat_zone": "string", "timestamp": "timestamp_ntz", "price_min": "double", "price_avg": "double", "price_max": "double", "inventory_remaining": "int", "days_to_event": "int"}
+
+
+def load_snapshots(df: DataFrame) -> DataFrame:
+    """The columns of a snapshot and no others; those that are missing are null. Joins to listings follow a split."""
+    return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in SNAPSHOT_COLUMNS.items()])
+
+
+def config_lists(spark: SparkSession, path: str, default: dict[str, list[str]] | None = None) -> dict[str, list[str]]:
+    """Lists of a small JSON configuration (an object of lists, or one list under the name ""), without keys that begin with `_`.
+
+    A missing file gives the default. Read by Spark, so the path may be in any store it reaches; the file is one row.
+    """
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        return dict(default or {})
+    found = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    found = found if isinstance(found, dict) else {"": found}
+    return {k: v for k, v in found.items() if not k.startswith("_")}
+
+
+def config_words(spark: SparkSession, path: str, default: list[str] | None = None) -> list[str]:
+    """The words of a configuration, in lower case and in order."""
+    return [w.lower() for words in config_lists(spark, path, {"": default or []}).values() for w in words]
+
+
 def events(listings: DataFrame) -> DataFrame:
     """One row per event of a listing table."""
     return listings.groupBy("event_id").agg(*[F.min(c).alias(c) for c in ("event_type", "event_datetime", "artist_or_team")], F.min("venue_name").alias("venue_name"), F.min("city").alias("city"))
