@@ -9,7 +9,8 @@ from corvane.functions import scalars as S
 from corvane.operators import cleaning, evaluate
 from corvane.sources import store
 
-NOW = F.expr("timestamp_ntz'2024-01-01 00:00:00'")
+def now():
+    return F.expr("timestamp_ntz'2024-01-01 00:00:00'")
 
 
 def test_event_lookup_and_ids(spark):
@@ -36,15 +37,15 @@ def test_configuration_lists(spark, tmp_path):
 
 def test_event_rules(spark):
     rows = spark.createDataFrame([("a", "v", "x", "c", datetime(2025, 1, 1), 5), ("", None, "", None, datetime(2023, 1, 1), -1), ("b", "v", "x", "c", None, None)], "event_id string, venue_id string, artist_or_team string, city string, event_datetime timestamp_ntz, venue_capacity int")
-    out = {r.event_id: r for r in cleaning.validated_events(rows, NOW).collect()}
+    out = {r.event_id: r for r in cleaning.validated_events(rows, now()).collect()}
     assert out["a"].is_valid and not out["a"].warnings and out["b"].is_valid
     assert len(out[""].errors) == 3 and len(out[""].warnings) == 3
-    assert len(cleaning.validated_events(rows, NOW, allow_past=True).where("event_id = ''").first().warnings) == 2
+    assert len(cleaning.validated_events(rows, now(), allow_past=True).where("event_id = ''").first().warnings) == 2
 
 
 def test_snapshot_rules(spark):
-    rows = spark.createDataFrame([("a", 1.0, 2.0, 3.0, 1), ("b", 2.0, 1.0, 0.5, -1), ("c", 2.0, None, None, None)], "event_id string, price_min double, price_avg double, price_max double, days_to_event int").withColumn("timestamp", NOW)
-    out = {r.event_id: r.errors for r in cleaning.validated_snapshots(rows, NOW).collect()}
+    rows = spark.createDataFrame([("a", 1.0, 2.0, 3.0, 1), ("b", 2.0, 1.0, 0.5, -1), ("c", 2.0, None, None, None)], "event_id string, price_min double, price_avg double, price_max double, days_to_event int").withColumn("timestamp", now())
+    out = {r.event_id: r.errors for r in cleaning.validated_snapshots(rows, now()).collect()}
     assert out["a"] == out["c"] == [] and len(out["b"]) == 4
 
 
