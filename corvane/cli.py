@@ -9,7 +9,7 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators import cleaning, evaluate, labels, models, serve, splits
+from corvane.operators import cleaning, evaluate, labels, models, predictor, serve, splits
 from corvane.sources import payloads
 
 
@@ -28,7 +28,8 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument(f"--{flag}", type=kind, default=default) if kind is not bool else p.add_argument(f"--{flag}", action="store_true")
 
     command("preprocess", ("output", str, None), ("events", str, None), ("watermark", str, None), ("dry-run", bool, None))
-    command("train", ("output", str, None), ("target", str, "log"), ("model", str, "boosted"), ("weights", str, None), ("without", str, "snapshot"))
+    command("train", ("output", str, None), ("target", str, "log"), ("model", str, "boosted"), ("weights", str, None), ("without", str, "snapshot"), ("log-prices", bool, None), ("least-importance", float, None))
+    command("predict", ("model", str, None), ("output", str, None), ("unknown", str, "error"), ("zones", bool, None))
     command("train-sale", ("window-hours", float, 24.0), ("absent", int, 2), ("labels", str, "absence"), ("snapshots", str, None))
     command("coverage")
     command("gate", ("share", float, 0.3))
@@ -66,10 +67,14 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> int
         if args.output and not args.dry_run:
             result.data.write.mode("overwrite").parquet(args.output)
     elif args.command == "train":
-        made = models.train(rows, price_model(args.model), args.target, weights=args.weights, without=tuple(x for x in args.without.split(",") if x))
+        made = models.train(rows, price_model(args.model), args.target, weights=args.weights, without=tuple(x for x in args.without.split(",") if x), log_prices=args.log_prices, least_importance=args.least_importance)
         print(json.dumps(made.metrics | {"features": len(made.columns)}))
         if args.output:
-            made.model.save(args.output)
+            predictor.save(made, args.output)
+    elif args.command == "predict":
+        made = predictor.load(spark, args.model)
+        out = (predictor.predict_zones if args.zones else predictor.predict)(made, rows, args.unknown)
+        out.write.mode("overwrite").parquet(args.output) if args.output else out.show(40, False)
     elif args.command == "train-sale":
         labelled = labels.absence_labels(rows, args.window_hours, args.absent) if args.labels == "absence" else labels.depletion_labels(rows, spark.read.parquet(args.snapshots), int(args.window_hours))
         parts = splits.temporal_split(labelled.withColumnRenamed("sold", "label"), ["event_datetime", "listing_id"])
