@@ -47,3 +47,15 @@ def test_unknown_events_and_zones(spark, rows, tmp_path):
     assert sorted(r.zone for r in zones) == sorted(predictor.ZONE_SECTION) and all(r.predicted >= 0 for r in zones)
     with pytest.raises(ValueError):
         predictor.predict(made, both, "perhaps")
+
+
+def test_command_line_stores_and_predicts(spark, rows, tmp_path):
+    from corvane import cli
+
+    data, model, out = (str(tmp_path / n) for n in ("data", "model", "out"))
+    rows.write.parquet(data)
+    without = ",".join(WITHOUT)
+    assert cli.run(["train", "--data", data, "--output", model, "--model", "ridge", "--without", without], spark) == 0
+    assert cli.run(["predict", "--data", data, "--model", model, "--output", out, "--unknown", "drop"], spark) == 0
+    got = spark.read.parquet(out)
+    assert 0 < got.count() <= rows.count() and set(predictor.PREDICTED) <= set(got.columns)
