@@ -35,6 +35,15 @@ class Extractor:
     def transform(self, df: DataFrame, is_train: bool = False) -> DataFrame:
         raise NotImplementedError
 
+    def hold(self, df: DataFrame) -> DataFrame:
+        """The few columns that several statistics are made of, computed once; `release` lets them go."""
+        self._held = df.persist()
+        return self._held
+
+    def release(self) -> None:
+        if "_held" in vars(self):
+            vars(self).pop("_held").unpersist()
+
     def done(self, df: DataFrame, keep: list[str]) -> DataFrame:
         return df.select(*keep, *self.names)
 
@@ -92,7 +101,7 @@ class Seating(Extractor):
     def transform(self, df, is_train=False):
         section = F.coalesce(F.col("section"), F.lit(""))
         zone = S.zone(section)
-        premium = F.lower(section).rlike(S.any_of(S.PREMIUM_WORDS)) & ~F.lower(section).contains("general admission")
+        premium = S.has(section, S.PREMIUM_WORDS) & ~F.lower(section).contains("general admission")
         out = [S.by_zone(zone, S.ZONE_CODE, 1), S.by_zone(zone, S.ZONE_RATIO, 0.5), S.row_number(F.col("row")) if "row" in df.columns else F.lit(10), S.has(section, ["floor", "pit", "field", "courtside"]).cast("int"), S.has(section, ["ga", "general admission"]).cast("int"), premium.cast("int")]
         return df.select("*", *[c.alias(n) for c, n in zip(out, self.names, strict=True)])
 
@@ -122,7 +131,7 @@ class EventPricing(Extractor):
     def fit(self, df):
         m, g = self.m, global_stats(df)
         self.g = g
-        df = df.withColumn("_zone", S.zone(F.col("section")))
+        df = self.hold(df.select("event_id", "section", "artist_or_team", "listing_price", S.zone(F.col("section")).alias("_zone")))
         p = F.col("listing_price")
         spread = df.where("listing_price is not null and event_id is not null").groupBy("event_id").agg(F.count(p).alias("k"), (F.percentile(p, 0.75) - F.percentile(p, 0.25)).alias("iqr"), S.clip(adjusted_skewness(p), -3.0, 3.0).alias("skew")).where("k >= 3").drop("k")
         event = price_stats(df, ["event_id"]).withColumn("raw", F.col("median")).withColumn("median", smooth(F.col("n"), F.col("raw"), m, F.lit(g["median"]))).drop("raw")
@@ -206,6 +215,8 @@ class ColdStart(Extractor):
         self.g = df.agg(F.avg(F.log1p("listing_price"))).collect()[0][0]
         self.g = 5.017279836814924 if self.g is None else self.g  # log1p(150)
         keyed = self._keyed(df, True).withColumn("_log", F.log1p(F.coalesce("listing_price", F.lit(0.0))))
+        keys = dict.fromkeys(k for _, levels in self.CHAINS.values() for level in levels for k in level)
+        keyed = self.hold(keyed.select(*keys, "_event", "_log", "listing_price", "event_id"))
         self.groups, self.parts = {}, {}
         for chain, (_, levels) in self.CHAINS.items():
             # the event's parts in the finest groups, once; wider parts and the groups are sums of them
@@ -308,7 +319,7 @@ class ListingStructural(Extractor):
 
     def fit(self, df):
         self.g = global_stats(df)["mean"]
-        df = df.withColumn("_bucket", S.row_bucket(F.col("row")))
+        df = self.hold(df.select("event_id", "section", "listing_price", S.row_bucket(F.col("row")).alias("_bucket")))
         self.events = price_stats(df, ["event_id"]).select("event_id", "mean")
         es = lookup(price_stats(df, ["event_id", "section"]), self.events, ["event_id"], "e_")
         self.priors = es.select("event_id", "section", smooth(F.col("n"), F.col("mean"), self.prior_m, F.coalesce("e_mean", F.lit(self.g))).alias("prior"))
@@ -362,7 +373,8 @@ class Regional(Extractor):
 
     def fit(self, df):
         m, g = self.m, global_stats(df)
-        df = df.where("artist_or_team is not null and city is not null").withColumns({"_artist": S.folded(F.col("artist_or_team")), "_city": S.city_name(F.col("city")), "_country": S.country(F.col("city")), "_region": S.region_key(F.col("city"))})
+        df = df.where("artist_or_team is not null and city is not null").select("artist_or_team", "listing_price", S.folded(F.col("artist_or_team")).alias("_artist"), S.city_name(F.col("city")).alias("_city"))
+        df = self.hold(df.select("*", S.country_of(F.col("_city")).alias("_country"), S.region_of(F.col("_city")).alias("_region")))
         p = F.col("listing_price")
         stat = lambda keys: df.groupBy("artist_or_team", "_artist", *keys).agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("mean"), F.median(p).alias("median"))
         last = lambda d, keys: d.groupBy("_artist", *keys).agg(F.max_by(F.struct("n", "mean", "median"), "artist_or_team").alias("s")).select("_artist", *keys, "s.*")
@@ -505,7 +517,7 @@ class FeaturePipeline:
     def _keep(self, e: Extractor) -> None:
         """Statistics are read by every split, so they are computed once; `release` lets them go."""
         for name, value in vars(e).items():
-            if isinstance(value, DataFrame) and name not in ("counts", "history"):
+            if isinstance(value, DataFrame) and name not in ("counts", "history", "_held"):
                 self._kept.append(value.persist())
             elif isinstance(value, dict):
                 self._kept += [v.persist() for v in value.values() if isinstance(v, DataFrame)]
@@ -513,6 +525,8 @@ class FeaturePipeline:
     def release(self) -> None:
         while self._kept:
             self._kept.pop().unpersist()
+        for e in self.extractors.values():
+            e.release()
 
     def _run(self, df: DataFrame, stage: str, is_train: bool) -> DataFrame:
         for e in self.extractors.values():

@@ -70,7 +70,7 @@ def save(made: models.Trained, path: str) -> None:
     made.known.write.mode("overwrite").parquet(f"{path}/known")
     meta = {
         "kind": kind, "columns": made.columns, "label": made.model.label, "weight": made.model.weight, "log": made.log, "metrics": made.metrics, "target": made.target_name,
-        "extractors": {n: _stated(e, f"{path}/features/{n}") for n, e in made.features.extractors.items()}, "transform": _stated(made.target, f"{path}/target"),
+        "extractors": {n: _stated(e, f"{path}/features/{n}", ("_held",)) for n, e in made.features.extractors.items()}, "transform": _stated(made.target, f"{path}/target"),
     }
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 

@@ -28,7 +28,7 @@ def category_factor(artist: Column) -> Column:
     a = S.folded(artist)
     out = None
     for factor, names in CATEGORY:
-        hit = a.rlike(S.any_of(names))
+        hit = S.any_in(a, names)
         out = F.when(hit, factor) if out is None else out.when(hit, factor)
     return out.otherwise(1.0)
 

@@ -76,13 +76,15 @@ def cap_price(df: DataFrame, q: float = 0.95, price: str = "listing_price") -> D
 
 def winsorise(df: DataFrame, zone: str, price: str = "listing_price", least: int = 20) -> DataFrame:
     """Prices clipped to p2 and p98 of their zone; of small zones to p5 and p95 of all."""
-    sizes = {r[0]: r[1] for r in df.groupBy(zone).agg(F.count(price)).collect()}  # there are a handful of zones
-    low, high = (F.lit(x) for x in exact_percentiles(df, price, [0.05, 0.95], sum(sizes.values())))
+    narrow = df.select(zone, price).persist()  # read once for every zone
+    sizes = {r[0]: r[1] for r in narrow.groupBy(zone).agg(F.count(price)).collect()}  # there are a handful of zones
+    low, high = (F.lit(x) for x in exact_percentiles(narrow, price, [0.05, 0.95], sum(sizes.values()), kept=True))
     for name, n in sizes.items():
         if name is not None and n >= least:
-            a, b = exact_percentiles(df.where(F.col(zone) == name), price, [0.02, 0.98], n)
+            a, b = exact_percentiles(narrow.where(F.col(zone) == name), price, [0.02, 0.98], n, kept=True)
             own = F.col(zone) == name
             low, high = F.when(own, a).otherwise(low), F.when(own, b).otherwise(high)
+    narrow.unpersist()
     return df.withColumn(price, F.least(F.greatest(F.col(price), low), high))
 
 

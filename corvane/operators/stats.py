@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corvane.functions.scalars import position
-
 
 def smooth(n, x, m: float, prior) -> Column:
     """(n x + m prior) / (n + m)."""
@@ -46,26 +44,52 @@ def side_by_side(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
-def exact_percentiles(df: DataFrame, column: str, probs: list[float], n: int | None = None, parts: int = 512, small: int = 1_000_000) -> list:
+def exact_percentiles(df: DataFrame, column: str, probs: list[float], n: int | None = None, parts: int = 512, small: int = 20_000, kept: bool = False) -> list:
     """The percentiles that F.percentile gives, without gathering all distinct values in one task where there may be many.
 
-    Approximate cuts split the values into ranges, the ranges are counted, and only those that hold a wanted rank are
-    looked into: by counts of their distinct values. Up to `small` rows one aggregation does it.
+    Approximate percentiles a little below and above each wanted one give the range it lies in (a share of 2 / parts of
+    the rows); one pass counts what lies below the ranges and inside, and only the ranges are looked into, by counts of
+    their distinct values. Should a wanted rank lie outside its range, the ranges are widened. The column is held for
+    these passes unless the caller has `kept` its rows. Up to `small` rows one aggregation does it.
     """
     rows = df.select(F.col(column).cast("double").alias("x")).where("x is not null")
-    n = rows.count() if n is None else n
-    if n <= small:
+    if n is not None and n <= small:
         return rows.agg(F.percentile("x", probs)).collect()[0][0] or [None] * len(probs)
-    cuts = sorted(set(rows.agg(F.percentile_approx("x", [k / parts for k in range(1, parts)], 20 * parts)).collect()[0][0]))
-    rows = rows.withColumn("part", position(F.col("x"), cuts))
-    counts = dict(rows.groupBy("part").agg(F.count(F.lit(1))).collect())
-    before, firsts = 0, {}
-    for part in sorted(counts):
-        firsts[part] = before
-        before += counts[part]
+    rows = rows if kept else rows.persist()
+    try:
+        n = rows.count() if n is None else n
+        if n <= small:
+            return rows.agg(F.percentile("x", probs)).collect()[0][0] or [None] * len(probs)
+        return _by_ranges(rows, probs, n, 1 / parts)
+    finally:
+        if not kept:
+            rows.unpersist()
+
+
+def _by_ranges(rows: DataFrame, probs: list[float], n: int, reach: float) -> list:
+    ends = [x for p in probs for x in (max(0.0, p - reach), min(1.0, p + reach))]
+    cuts = rows.agg(F.percentile_approx("x", ends, max(10_000, int(20 / reach)))).collect()[0][0]
+    open_at = lambda i: ends[i] in (0.0, 1.0)
+    spans = sorted(((None if open_at(i) else cuts[i], None if open_at(i + 1) else cuts[i + 1]) for i in range(0, len(ends), 2)), key=lambda s: (s[0] is not None, s[0] or 0.0))
+    ranges: list[tuple] = []
+    for low, high in spans:  # overlapping ones become one
+        if ranges and (low is None or ranges[-1][1] is None or low <= ranges[-1][1]):
+            first, last = ranges.pop()
+            low, high = first, None if last is None or high is None else max(last, high)
+        ranges.append((low, high))
+    x = F.col("x")
+    below = [F.lit(False) if low is None else x < low for low, _ in ranges]
+    inside = [~b & (F.lit(True) if high is None else x <= high) for b, (_, high) in zip(below, ranges, strict=True)]
+    counted = rows.agg(*[F.count_if(c) for c in (*below, *inside)]).collect()[0]
+    firsts, sizes = dict(enumerate(counted[: len(ranges)])), counted[len(ranges) :]
     ranks = sorted({r for p in probs for r in (int((n - 1) * p), -int(-((n - 1) * p) // 1))})
-    of = {r: max(part for part, first in firsts.items() if first <= r) for r in ranks}
-    values = rows.where(F.col("part").isin(sorted(set(of.values())))).groupBy("part", "x").agg(F.count(F.lit(1)).alias("k"))
+    of = {r: part for r in ranks for part, first in firsts.items() if first <= r < first + sizes[part]}
+    if len(of) < len(ranks):
+        return _by_ranges(rows, probs, n, 8 * reach)
+    part = F.lit(None).cast("int")
+    for i, c in enumerate(inside):
+        part = F.when(c, i).otherwise(part)
+    values = rows.withColumn("part", part).where("part is not null").groupBy("part", "x").agg(F.count(F.lit(1)).alias("k"))
     upto = F.sum("k").over(W.partitionBy("part").orderBy("x"))
     hit = [(F.col("part") == part) & (F.col("upto") > r - firsts[part]) & (F.col("upto") - F.col("k") <= r - firsts[part]) for r, part in of.items()]
     found = values.withColumn("upto", upto).select("x", F.array(*hit).alias("hit")).where(F.exists("hit", lambda h: h)).collect()
@@ -80,8 +104,10 @@ def exact_percentiles(df: DataFrame, column: str, probs: list[float], n: int | N
 
 def global_stats(df: DataFrame, price: str = "listing_price") -> dict:
     p = F.col(price)
+    df = df.select(price).persist()
     row = df.agg(F.avg(p).alias("mean"), F.stddev_samp(p).alias("std"), adjusted_skewness(p).alias("skew"), F.avg((p > 200).cast("double")).alias("premium"), F.count(p).alias("n")).collect()[0].asDict()
-    row["q25"], row["median"], row["q75"] = exact_percentiles(df, price, [0.25, 0.5, 0.75], row["n"])
+    row["q25"], row["median"], row["q75"] = exact_percentiles(df, price, [0.25, 0.5, 0.75], row["n"], kept=True)
+    df.unpersist()
     return row | {"mean": 150.0 if row["mean"] is None else row["mean"], "median": 150.0 if row["median"] is None else row["median"], "std": 50.0 if row["std"] is None else row["std"], "premium": 0.5 if row["premium"] is None else row["premium"]}
 
 
