@@ -12,8 +12,11 @@ few words, and the sketch keeps unrelated texts apart.
 With `least_jaccard` these links are candidates, and each is confirmed by the Jaccard similarity of the whole shingle
 sets (of 64-bit hashes). Two passes do it: the first confirms a spanning forest of the likeliest candidates, the second
 all candidates between the components that this makes. So every candidate is confirmed, refuted or inside a component.
+No Jaccard similarity is above the ratio of the sets' sizes, so tiles are cut by size here, and pairs of tiles or
+stretches whose sizes are too far apart are skipped; no link of that similarity is lost by it.
 
-The comparison is exact, so its cost grows with the square of the distinct fingerprints that the counts let through.
+The comparison is exact, so its cost grows with the square of the distinct fingerprints that the counts or sizes let
+through.
 The driver holds one row per tile (1,024 at most), never fingerprints; tiles of more than 60,000 points are dealt into
 parts of that size, so what a task holds doesn't grow with the table.
 
@@ -77,20 +80,21 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(some, ((a == b) & (a != 0)).sum(axis=1) / np.maximum(some, 1), 1.0)
 
 
-def set_key(hashes: np.ndarray) -> int:
-    """One number for a set of shingles."""
-    return xxhash.xxh64_intdigest(np.unique(hashes).tobytes())
+def set_key(distinct: np.ndarray) -> int:
+    """One number for a set of shingles, given in ascending order."""
+    return xxhash.xxh64_intdigest(distinct.tobytes())
 
 
 def fingerprinted(docs: DataFrame, words: int = 3, sketch_words: int = 0, by_set: bool = False) -> DataFrame:
-    """doc_id, fp (signed), sketch, row_key, node: in the shared folder. by_set: nodes are the sets of shingles."""
+    """doc_id, fp (signed), sketch, row_key, node: in the shared folder. by_set: nodes are the sets of shingles, size is their number."""
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"), row_key().alias("row_key"))
 
     def run(batches):
         for batch in batches:
             texts = batch.column(1)
-            prints, sketches, keys = np.zeros(len(texts), np.uint64), [], np.zeros(len(texts) if by_set else 0, np.uint64)
+            prints, sketches = np.zeros(len(texts), np.uint64), []
+            keys, sizes = (np.zeros(len(texts) if by_set else 0, t) for t in (np.uint64, np.int64))
             for i, text in enumerate(texts):
                 raw = text.as_py()
                 hashes = shingle_hashes(raw, words)
@@ -99,11 +103,12 @@ def fingerprinted(docs: DataFrame, words: int = 3, sketch_words: int = 0, by_set
                     hashes = shingle_hashes(raw, sketch_words)
                 sketches.append(sketch(hashes) if sketch_words else b"")
                 if by_set:
-                    keys[i] = set_key(hashes)
+                    distinct = np.unique(hashes)
+                    keys[i], sizes[i] = set_key(distinct), len(distinct)
             columns = [batch.column(0), pa.array(prints.view(np.int64)), pa.array(sketches, pa.binary()), batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(keys.view(np.int64))] if by_set else [])], names=["doc_id", "fp", "sketch", "row_key", *(["node"] if by_set else [])])
+            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(keys.view(np.int64)), pa.array(sizes)] if by_set else [])], names=["doc_id", "fp", "sketch", "row_key", *(["node", "size"] if by_set else [])])
 
-    made = rows.mapInArrow(run, "doc_id long, fp long, sketch binary, row_key string" + ", node long" * by_set)
+    made = rows.mapInArrow(run, "doc_id long, fp long, sketch binary, row_key string" + ", node long, size long" * by_set)
     if by_set:
         return stored(made, "simhash-rows")
     return stored(made.withColumn("node", F.xxhash64("fp", "sketch") if sketch_words else F.col("fp")), "simhash-rows")
@@ -201,23 +206,55 @@ def likeliest(a: np.ndarray, b: np.ndarray, weight: np.ndarray, n: int) -> np.nd
         label = moved[label]
 
 
-def candidates(one: tuple, two: tuple | None, radius: int, min_similarity: float, every: bool) -> tuple[np.ndarray, np.ndarray]:
+def sizes_allow(a: np.ndarray, b: np.ndarray, least_jaccard: float) -> np.ndarray:
+    """Whether any members of ranges of set sizes a (rows: least, largest) and b (columns) can be that similar."""
+    a, b = a[:, None].astype(np.float64), b[None].astype(np.float64)
+    least = least_jaccard * (1 - 1e-9)
+    return (a[:, :, 1] >= least * b[:, :, 0]) & (b[:, :, 1] >= least * a[:, :, 0])
+
+
+def size_ranges(sizes: np.ndarray) -> np.ndarray:
+    starts = np.arange(0, len(sizes), STRETCH)
+    return np.stack([np.minimum.reduceat(sizes, starts), np.maximum.reduceat(sizes, starts)], axis=1)
+
+
+class Within:
+    """Which of two stretches' fingerprints differ by at most radius bits; works in the same memory at each call."""
+
+    def __init__(self, radius: int):
+        self.radius = radius
+        self.bits, self.counts, self.hits = np.empty(STRETCH**2, np.uint64), np.empty(STRETCH**2, np.uint8), np.empty(STRETCH**2, bool)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        n = len(left) * len(right)
+        bits, counts, hits = (x[:n].reshape(len(left), len(right)) for x in (self.bits, self.counts, self.hits))
+        np.bitwise_xor(left[:, None], right, out=bits)
+        np.bitwise_count(bits, out=counts)
+        np.less_equal(counts, self.radius, out=hits)
+        return np.nonzero(hits) if hits.any() else None
+
+
+def candidates(one: tuple, two: tuple | None, radius: int, min_similarity: float, every: bool, least_jaccard: float) -> tuple[np.ndarray, np.ndarray]:
     """Near pairs within a tile (two is None) or between two: every one whose labels differ, or the likeliest forest of them.
 
-    A tile: prints, nodes, sketches, labels (of nodes of one label no pair is wanted).
+    A tile: prints, nodes, sketches, labels (of nodes of one label no pair is wanted), sizes of the sets, by which it is sorted.
     """
     other = two or one
     base = 0 if two is None else len(one[0])
     size = base + len(other[0])
     none = np.zeros(0, np.int64)
     a, b, weight, held = [none], [none], [np.zeros(0)], 0
-    for i, row in enumerate(gap(boxes(quarters(one[0])), boxes(quarters(other[0]))) <= radius):
-        left = one[0][i * STRETCH : (i + 1) * STRETCH, None]
+    within = Within(radius)
+    near = gap(boxes(quarters(one[0])), boxes(quarters(other[0]))) <= radius
+    for i, row in enumerate(near & sizes_allow(size_ranges(one[4]), size_ranges(other[4]), least_jaccard)):
+        left = one[0][i * STRETCH : (i + 1) * STRETCH]
         for j in np.flatnonzero(row):
             if two is None and j < i:
                 continue
-            p, q = np.nonzero(np.bitwise_count(left ^ other[0][j * STRETCH : (j + 1) * STRETCH]) <= radius)
-            p, q = p + i * STRETCH, q + j * STRETCH
+            found = within(left, other[0][j * STRETCH : (j + 1) * STRETCH])
+            if found is None:
+                continue
+            p, q = found[0] + i * STRETCH, found[1] + j * STRETCH
             wanted = one[3][p] != other[3][q]
             if two is None:
                 wanted &= p < q
@@ -244,16 +281,19 @@ def candidates(one: tuple, two: tuple | None, radius: int, min_similarity: float
     return nodes[x], nodes[y]
 
 
-def near_links(points: DataFrame, radius: int, min_similarity: float | None = None, tile_rows: int = 60_000, least_tiles: int = 16, most_tiles: int = 1024, pairs_of: str | None = None) -> DataFrame:
+def near_links(points: DataFrame, radius: int, min_similarity: float | None = None, tile_rows: int = 60_000, least_tiles: int = 16, most_tiles: int = 1024, pairs_of: str | None = None, least_jaccard: float = 0.0) -> DataFrame:
     """points (fp, sketch, node; distinct) to links (a, b) that join whatever is near.
 
     pairs_of: near pairs themselves, a "forest" of them or "every" one between labels (points have a label), as a row for
-    each pair of tiles: pair, a and b (arrays of longs as bytes), ends (the nodes in them).
+    each pair of tiles: pair, a and b (arrays of longs as bytes), ends (the nodes in them). Points have a size then, and
+    pairs whose sizes exclude least_jaccard are left out.
     """
     spark = points.sparkSession
     counts = [F.bit_count(F.shiftrightunsigned("fp", 16 * q).bitwiseAND(0xFFFF)) for q in range(4)]
     place = counts[0] * 17**3 + counts[1] * 17**2 + counts[2] * 17 + counts[3]
-    # the order: the quarters' counts, then the fingerprint as a fraction
+    if pairs_of:
+        place = F.col("size")
+    # the order: the quarters' counts or the size, then the fingerprint as a fraction
     points = points.withColumn("place", place.cast("double") + F.pmod(F.xxhash64("fp", "node"), F.lit(1 << 20)) / float(1 << 20))
     n = points.count()
     tiles = max(least_tiles, min(most_tiles, -(-n // tile_rows)))
@@ -264,26 +304,34 @@ def near_links(points: DataFrame, radius: int, min_similarity: float | None = No
     def cut(table: pa.Table) -> pa.Table:
         prints = table.column("fp").to_numpy().view(np.uint64)
         own = quarters(prints)
-        order = np.lexsort((*own.T[::-1],))
+        sizes = table.column("size").to_numpy() if pairs_of else None
+        order = np.argsort(sizes, kind="stable") if pairs_of else np.lexsort((*own.T[::-1],))
         table = table.take(pa.array(order))
         prints = np.ascontiguousarray(prints[order])
         own = own[order]
         box = np.stack([own.min(axis=0), own.max(axis=0)]).ravel().tolist()
         nodes = np.ascontiguousarray(table.column("node").to_numpy())
         sketches = b"".join(table.column("sketch").to_pylist())
-        labels = {"labels": pa.array([np.ascontiguousarray(table.column("label").to_numpy()).tobytes()], pa.binary())} if pairs_of else {}
+        labels = {}
+        if pairs_of:
+            sizes = np.ascontiguousarray(sizes[order])
+            labels = {"labels": pa.array([np.ascontiguousarray(table.column("label").to_numpy()).tobytes()], pa.binary()), "sizes": pa.array([sizes.tobytes()], pa.binary()), "span": pa.array([[int(sizes[0]), int(sizes[-1])]], pa.list_(pa.int64()))}
         return pa.table({"tile": pa.array([table.column("tile")[0].as_py()], pa.int32()), "part": pa.array([table.column("part")[0].as_py()], pa.int32()), "box": pa.array([box], pa.list_(pa.int32())), "fps": pa.array([prints.tobytes()], pa.binary()), "nodes": pa.array([nodes.tobytes()], pa.binary()), "sketches": pa.array([sketches], pa.binary()), **labels})
 
     if pairs_of == "forest":
         points = points.withColumn("label", F.col("node"))
-    columns = ["fp", "node", "sketch", *(["label"] if pairs_of else [])]
+    columns = ["fp", "node", "sketch", *(["label", "size"] if pairs_of else [])]
     cutting = points.select(number.cast("int").alias("tile"), F.pmod(F.xxhash64("node", F.lit(3)), F.lit(parts)).cast("int").alias("part"), *columns)
-    cutting = cutting.groupBy("tile", "part").applyInArrow(cut, "tile int, part int, box array<int>, fps binary, nodes binary, sketches binary" + ", labels binary" * bool(pairs_of))
+    cutting = cutting.groupBy("tile", "part").applyInArrow(cut, "tile int, part int, box array<int>, fps binary, nodes binary, sketches binary" + ", labels binary, sizes binary, span array<long>" * bool(pairs_of))
     made = stored(cutting, "simhash-tiles")
     sides = [F.min(F.col("box")[k]) for k in range(4)] + [F.max(F.col("box")[k]) for k in range(4, 8)]
-    found = made.groupBy("tile").agg(F.array(*sides).alias("box")).collect()
+    span = [F.array(F.min(F.col("span")[0]), F.max(F.col("span")[1])).alias("span")] if pairs_of else []
+    found = made.groupBy("tile").agg(F.array(*sides).alias("box"), *span).collect()
     box = np.array([r["box"] for r in found], np.int16).reshape(-1, 2, 4)
     near = gap(box, box) <= radius if len(found) else np.zeros((0, 0), bool)
+    if pairs_of and found:
+        spans = np.array([r["span"] for r in found])
+        near &= sizes_allow(spans, spans, least_jaccard)
     pairs = [(k, found[i]["tile"], found[j]["tile"]) for k, (i, j) in enumerate(zip(*np.nonzero(near), strict=True)) if found[i]["tile"] <= found[j]["tile"]]
     of = F.sequence(F.lit(0), F.lit(parts - 1))
     wanted = spark.createDataFrame(pairs or [(0, -1, -1)], "k long, i int, j int").select("*", F.explode(of).alias("p")).select("*", F.explode(of).alias("q")).where("i <> j or p <= q")
@@ -296,17 +344,17 @@ def near_links(points: DataFrame, radius: int, min_similarity: float | None = No
             prints = np.frombuffer(row["fps"], np.uint64)
             own.append((prints, np.frombuffer(row["nodes"], np.int64), np.frombuffer(row["sketches"], np.uint8).reshape(len(prints), -1)))
             if pairs_of:
-                own[-1] += (np.frombuffer(row["labels"], np.int64),)
+                own[-1] += (np.frombuffer(row["labels"], np.int64), np.frombuffer(row["sizes"], np.int64))
         two = own[1] if len(own) > 1 else None
         if pairs_of:
-            a, b = candidates(own[0], two, radius, min_similarity, pairs_of == "every")
+            a, b = candidates(own[0], two, radius, min_similarity, pairs_of == "every", least_jaccard)
             some = 1 if len(a) else 0
             row = {"pair": [table.column("pair")[0].as_py()], "a": [a.tobytes()], "b": [b.tobytes()], "ends": [np.unique(np.r_[a, b])]}
             return pa.table({k: pa.array(v[:some], t) for (k, v), t in zip(row.items(), (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())), strict=True)})
         a, b = compare(own[0], two, radius, min_similarity)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return made.drop("box").join(wanted, ["tile", "part"]).groupBy("pair").applyInArrow(work, "pair long, a binary, b binary, ends array<long>" if pairs_of else "a long, b long")
+    return made.drop("box", "span").join(wanted, ["tile", "part"]).groupBy("pair").applyInArrow(work, "pair long, a binary, b binary, ends array<long>" if pairs_of else "a long, b long")
 
 
 def confirmed(docs: DataFrame, points: DataFrame, links: DataFrame, words: int, least_jaccard: float) -> DataFrame:
@@ -322,8 +370,9 @@ def confirmed(docs: DataFrame, points: DataFrame, links: DataFrame, words: int,
     def run(batches):
         for batch in batches:
             sets = [shingle_hashes(text.as_py(), words) for text in batch.column(0)]
+            sets = [np.unique(own) for own in sets]
             keys = np.array([set_key(own) for own in sets], np.uint64)
-            sets = [np.unique(own).view(np.int64) for own in sets]
+            sets = [own.view(np.int64) for own in sets]
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
     sets = stored(rows.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"]), "simhash-sets")
@@ -347,7 +396,8 @@ def confirmed(docs: DataFrame, points: DataFrame, links: DataFrame, words: int,
 
 def confirmed_links(docs: DataFrame, points: DataFrame, words: int, radius: int, min_similarity: float, least_jaccard: float, **tiling) -> DataFrame:
     """Links (a, b) of that Jaccard similarity which join all that candidates of that similarity join."""
-    bare = points.select("fp", "sketch", "node")
+    bare = points.select("fp", "sketch", "node", "size")
+    tiling["least_jaccard"] = least_jaccard
     first = stored(near_links(bare, radius, min_similarity, pairs_of="forest", **tiling), "simhash-forest")
     good = stored(confirmed(docs, points, first, words, least_jaccard), "simhash-confirmed")
     labelled = bare.join(components(good), "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -362,7 +412,8 @@ def near_components(docs: DataFrame, words: int = 3, radius: int = 3, sketch_wor
     """
     rows = fingerprinted(docs, words, sketch_words if min_similarity is not None else 0, least_jaccard is not None)
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
-    points = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.min(first).alias("rep"), F.count(F.lit(1)).alias("n"))
+    sized = [F.first("size").alias("size")] if least_jaccard is not None else []
+    points = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), *sized, F.min(first).alias("rep"), F.count(F.lit(1)).alias("n"))
     points = stored(points, "simhash-points")
     n_rows, n_points = (r or 0 for r in points.agg(F.sum("n"), F.count(F.lit(1))).collect()[0])
     if least_jaccard is None:

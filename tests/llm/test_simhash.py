@@ -8,7 +8,7 @@ import xxhash
 
 import corpus_pipeline
 from corvane.llm.components import components
-from corvane.llm.simhash import forest, keep_representatives, near_components, similarity, simhash, sketch, shingle_hashes
+from corvane.llm.simhash import STRETCH, Within, candidates, forest, keep_representatives, near_components, similarity, simhash, sketch, shingle_hashes
 from tests.llm.test_rows import edge_docs
 
 
@@ -125,3 +125,17 @@ def test_pipeline_links_by_exact_jaccard(spark):
     docs = edge_docs(spark, rows)
     assert sum(d == c for d, c in want.items()) > 100
     assert sorted(r.doc_id for r in corpus_pipeline.near(spark, docs, "").collect()) == sorted(set(want.values()))
+
+
+def test_sizes_leave_out_pairs_that_cannot_be_alike(monkeypatch):
+    pick = np.random.default_rng(5)
+    sizes = np.sort(np.exp(pick.uniform(0, 9, 3000)).astype(np.int64))
+    prints = pick.integers(0, 4, 3000).astype(np.uint64)  # all are near each other
+    nodes = np.arange(3000)
+    tile = (prints, nodes, np.ones((3000, 128), np.uint8), nodes, sizes)
+    seen, call = [], Within.__call__
+    monkeypatch.setattr(Within, "__call__", lambda self, x, y: seen.append(len(x) * len(y)) or call(self, x, y))
+    a, b = candidates(tile, None, 20, 0.65, True, 0.8)
+    got = set(zip(a.tolist(), b.tolist(), strict=True))
+    assert all((i, j) in got for i in range(0, 3000, 7) for j in range(i + 1, 3000) if sizes[i] >= 0.8 * sizes[j])
+    assert sum(seen) < 3000**2 / 4 and STRETCH < 3000
