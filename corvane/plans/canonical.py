@@ -46,11 +46,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = lambda name: table(spark, sf_dir, name)
-    rows = t("lineitem").join(t("part"), same("l_partkey", "p_partkey")).join(t("supplier"), same("l_suppkey", "s_suppkey")).join(t("nation"), same("s_nationkey", "n_nationkey"))
+    t = lambda name: unbroadcast_if_large(table(spark, sf_dir, name))
+    rows = table(spark, sf_dir, "lineitem").join(t("part"), same("l_partkey", "p_partkey")).join(t("supplier"), same("l_suppkey", "s_suppkey")).join(t("nation"), same("s_nationkey", "n_nationkey"))
     return rows.selectExpr(*[f"{e.replace('{event}', EVENT['spark'])} AS `{n}`" for n, e in LISTING.items()])
 
 
+def unbroadcast_if_large(df: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
+    """df, merged and never broadcast in joins if its files hold more than most_bytes.
+
+    The optimizer goes by the share of the compressed files that the columns read are estimated at: of a key column alone
+    it would collect millions of rows at the driver.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.hint("merge") if size > most_bytes else df
+
+
 def same(a: str, b: str):
     from pyspark.sql import functions as F
 

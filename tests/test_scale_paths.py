@@ -50,3 +50,14 @@ def test_relative_target_goes_there_and_back(spark):
     y = splits.target("relative").fit(df)
     back = y.prepare(df, True).select("listing_price", y.back(y.forward(F.col("listing_price"))).alias("p")).collect()
     assert len(back) == 60 and all(r.p == pytest.approx(r.listing_price) for r in back)
+
+
+def test_large_dimensions_are_not_broadcast(spark, tmp_path):
+    from corvane.plans.canonical import unbroadcast_if_large
+
+    spark.range(50_000).selectExpr("id AS k", "repeat(sha2(string(id), 256), 4) AS long_text").write.parquet(str(tmp_path / "dimension"))
+    dimension = spark.read.parquet(str(tmp_path / "dimension"))
+    plan = lambda side: spark.range(10).withColumnRenamed("id", "k").join(side.select("k"), "k")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(unbroadcast_if_large(dimension))
+    large = spark.range(10**6).withColumnRenamed("id", "k").join(unbroadcast_if_large(dimension, 1000), "k").select("k")
+    assert "SortMergeJoin" in large._jdf.queryExecution().executedPlan().toString() and large.count() == 50_000
