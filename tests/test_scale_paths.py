@@ -61,3 +61,12 @@ def test_large_dimensions_are_not_broadcast(spark, tmp_path):
     assert "BroadcastHashJoin" in plan(unbroadcast_if_large(dimension))
     large = spark.range(10**6).withColumnRenamed("id", "k").join(unbroadcast_if_large(dimension, 1000), "k").select("k")
     assert "SortMergeJoin" in large._jdf.queryExecution().executedPlan().toString() and large.count() == 50_000
+
+
+def test_models_join_their_rows_once(spark):
+    from corvane.queries import _model_rows
+
+    rows, names = _model_rows(spark, "/root/testdata/sf0.001")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "model-rows" in rows.inputFiles()[0] and set(names) < set(rows.columns)
+    assert rows.count() > 0 and rows.where("label is null").count() == 0
