@@ -12,12 +12,19 @@ from pyspark.sql import functions as F
 
 from corvane.functions import scalars as S
 from corvane.operators.stats import adjusted_skewness, bar_set, exact_percentiles, global_stats, lookup, price_stats, smooth, with_membership
+from corvane.plans.canonical import broadcast_if_small
+from corvane.plans.shared import stored_by
 
 
 def col_or(df: DataFrame, name: str, default) -> Column:
     return F.col(name) if name in df.columns else default if isinstance(default, Column) else F.lit(default)
 
 
+def by_event() -> Column:
+    """What rows are dealt by in `listings_by_event`; rows without an event lie together."""
+    return F.coalesce(F.col("event_id").cast("string"), F.lit(""))
+
+
 def at_least_one(n: Column) -> Column:
     return F.greatest(n, F.lit(1))
 
@@ -35,6 +42,10 @@ class Extractor:
     def transform(self, df: DataFrame, is_train: bool = False) -> DataFrame:
         raise NotImplementedError
 
+    def fit_transform(self, df: DataFrame, train: Column) -> DataFrame:
+        """Fitted on the rows that `train` marks, all rows transformed."""
+        return self.fit(df.where(train)).transform(df)
+
     def hold(self, df: DataFrame) -> DataFrame:
         """The few columns that several statistics are made of, computed once; `release` lets them go."""
         self._held = df.persist()
@@ -228,15 +239,54 @@ class ColdStart(Extractor):
         self.members = bar_set(keyed.where("event_id is not null"), ["_event"])
         return self
 
+    def fit_transform(self, df, train):
+        """The same in one pass: the event's parts are windows over rows that lie together by event; groups are looked up.
+
+        Rows dealt by event already (`listings_by_event`) aren't shuffled again unless a table of groups is large.
+        """
+        keep, train, price = df.columns, F.coalesce(train, F.lit(False)), F.col("listing_price")
+        log = F.log1p(F.coalesce(price, F.lit(0.0)))
+        keyed = self._keyed(df.where(train), True)
+        finest = F.array(*[F.struct(F.lit(chain).alias("chain"), F.array(*levels[0]).alias("keys")) for chain, (_, levels) in self.CHAINS.items()], F.when(price.isNotNull(), F.struct(F.lit("all").alias("chain"), F.array().cast("array<string>").alias("keys"))))
+        sums = [F.sum("n").alias("n"), F.sum("s").alias("s")]
+        finest = keyed.select(F.explode(finest).alias("of"), log.alias("s")).where("of IS NOT NULL").groupBy("of.chain", "of.keys").agg(F.count(F.lit(1)).alias("n"), F.sum("s").alias("s"))
+        wider = F.lit(None)
+        for chain, (_, levels) in self.CHAINS.items():
+            at = {k: F.col("keys")[i] for i, k in enumerate(levels[0])}
+            wider = F.when(F.col("chain") == chain, F.array(*[F.struct(F.lit(f"{chain}{i}").alias("level"), F.array(*[at[k] for k in keys]).alias("keys")) for i, keys in enumerate(levels)])).otherwise(wider)
+        wider = F.coalesce(wider, F.array(F.struct(F.lit("all").alias("level"), F.col("keys"))))
+        levels = finest.select(F.explode(wider).alias("of"), "n", "s").groupBy("of.level", "of.keys").agg(*sums)
+        names = {f"{chain}{i}": keys for chain, (_, levels) in self.CHAINS.items() for i, keys in enumerate(levels)}
+        tables = stored_by(levels, "level", ["all", *names], "cold-start")
+        self.g = next((r.s / r.n for r in tables["all"].collect()), 5.017279836814924)  # log1p(150)
+        df = self._keyed(df, False).withColumns({"_log": log, "_c": S.cents(price), "_t": train, "_filled": train & ((F.col("seat_zone") != "") if "seat_zone" in df.columns else F.lit(True))})
+        own = F.max(F.col("_t") & F.col("event_id").isNotNull() & price.isNotNull()).over(W.partitionBy("_event", "_c"))
+        df = df.withColumn("_own", F.coalesce(own & F.col("_c").isNotNull(), F.lit(False)))
+        for chain, (_, levels) in self.CHAINS.items():
+            order = list(dict.fromkeys(k for keys in reversed(levels) for k in keys))  # the wider level's keys first: one sort
+            counts = F.coalesce("_filled" if chain == "sz" else "_t", F.lit(False))  # an empty zone of a training row is looked up by none
+            for i, keys in enumerate(levels):
+                at = W.partitionBy("_event", *[k for k in order if k in keys])
+                df = df.withColumns({f"p_{chain}{i}_n": F.count_if(counts).over(at), f"p_{chain}{i}_s": F.sum(F.when(counts, F.col("_log"))).over(at)})
+        for level, keys in names.items():
+            groups = broadcast_if_small(tables[level]).select(*[F.col("keys")[i].alias(k) for i, k in enumerate(keys)], F.col("n").alias(f"g_{level}_n"), F.col("s").alias(f"g_{level}_s"))
+            df = df.join(groups, keys, "left")
+        return self._features(df, keep)
+
     def transform(self, df, is_train=False):
         keep = df.columns
         df = with_membership(self._keyed(df, False), self.members, ["_event"], "_own")
+        for chain, (_, levels) in self.CHAINS.items():
+            for i, keys in enumerate(levels):
+                df = lookup(lookup(df, self.groups[chain, i], keys, f"g_{chain}{i}_"), self.parts[chain, i], [*keys, "_event"], f"p_{chain}{i}_")
+        return self._features(df, keep)
+
+    def _features(self, df, keep):
         means, supports = [], []
         for chain, (m, levels) in self.CHAINS.items():
             steps = []
-            for i, keys in enumerate(levels):
+            for i in range(len(levels)):
                 a, b = f"g_{chain}{i}_", f"p_{chain}{i}_"
-                df = lookup(lookup(df, self.groups[chain, i], keys, a), self.parts[chain, i], [*keys, "_event"], b)
                 out = lambda c, b=b: F.when(F.col("_own"), F.coalesce(F.col(f"{b}{c}"), F.lit(0))).otherwise(F.lit(0))
                 n = F.coalesce(F.col(f"{a}n"), F.lit(0)) - out("n")
                 steps.append((n, F.col(f"{a}s") - out("s")))

@@ -51,6 +51,37 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr(*[f"{e.replace('{event}', EVENT['spark'])} AS `{n}`" for n, e in LISTING.items()])
 
 
+def listings_by_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of `listings`, those of an event together: dealt once, as raw columns; windows by event need no other shuffle.
+
+    Parts are joined by the event too, so they are merged into the rows where these lie. Sellers are broadcast or, if
+    large, joined before. A partition has some 4 MB of the table's files, so what is sorted in a task stays small.
+    """
+    from pyspark.sql import functions as F
+
+    lines, parts, sellers, nations = (table(spark, sf_dir, name) for name in ("lineitem", "part", "supplier", "nation"))
+    event = lambda key: F.coalesce(F.expr(LISTING["event_id"].replace("l_partkey", key)), F.lit(""))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), file_bytes(lines) // (4 << 20))
+    dealt = lambda df: df.where("l_partkey IS NOT NULL").repartition(n, event("l_partkey"))
+    sold = lambda df: df.join(broadcast_if_small(sellers), same("l_suppkey", "s_suppkey")).join(broadcast_if_small(nations), same("s_nationkey", "n_nationkey"))
+    rows = sold(dealt(lines)) if file_bytes(sellers) <= SMALL else dealt(sold(lines))
+    rows = rows.join(unbroadcast_if_large(parts.where("p_partkey IS NOT NULL")), event("l_partkey") == event("p_partkey"))
+    return rows.selectExpr(*[f"{e.replace('{event}', EVENT['spark'])} AS `{n}`" for n, e in LISTING.items()])
+
+
+#: Bytes of files up to which a side is broadcast, whatever the session's own limit.
+SMALL = 16 << 20
+
+
+def file_bytes(df: DataFrame) -> int:
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """A table that is read from files, broadcast in joins if they are small, else merged."""
+    return df.hint("broadcast" if file_bytes(df) <= SMALL else "merge")
+
+
 def unbroadcast_if_large(df: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
     """df, merged and never broadcast in joins if its files hold more than most_bytes.
 

@@ -27,3 +27,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_by(df: DataFrame, column: str, values: list[str], name: str) -> dict[str, DataFrame]:
+    """df written to the shared folder in one pass, read back as a table for each value of the column, without it."""
+    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(column).parquet(path)
+    spark, schema = df.sparkSession, df.drop(column).schema
+    at = {v: spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{column}={v}") for v in values}
+    there = {v: p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) for v, p in at.items()}
+    return {v: spark.read.schema(schema).parquet(f"{path}/{column}={v}") if there[v] else spark.createDataFrame([], schema) for v in values}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corvane.functions import scalars as S
 from corvane.operators import cleaning, collect, evaluate, features, joins, labels, popularity, serve, splits
 from corvane.operators.stats import adjusted_skewness, price_stats
-from corvane.plans.canonical import listings, snapshots, table
+from corvane.plans.canonical import listings, listings_by_event, snapshots, table
 from corvane.plans.shared import stored
 from corvane.sources import payloads, store, synthetic
 
@@ -52,6 +52,12 @@ def _extracted(make: Callable[[], features.Extractor], spark, sf_dir, is_train:
     return _rounded(out, made.names, "listing_id")
 
 
+def _in_one_pass(make: Callable[[], features.Extractor], spark, sf_dir) -> DataFrame:
+    """The same for extractors whose statistics are mostly by event."""
+    made = make()
+    return _rounded(made.fit_transform(listings_by_event(spark, sf_dir), F.col("is_train")), made.names, "listing_id")
+
+
 # sources and sinks
 
 
@@ -431,7 +437,7 @@ def x06_relative_pricing(spark, sf_dir):
 
 @query
 def x07_cold_start(spark, sf_dir):
-    return _extracted(features.ColdStart, spark, sf_dir)
+    return _in_one_pass(features.ColdStart, spark, sf_dir)
 
 
 @query
