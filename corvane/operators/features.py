@@ -11,9 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.functions import scalars as S
-from corvane.operators.stats import adjusted_skewness, bar_set, exact_percentiles, global_stats, lookup, price_stats, smooth, with_membership
+from corvane.operators.stats import adjusted_skewness, bar_set, exact_percentiles, global_stats, lookup, price_stats, price_stats_by_ranges, smooth, with_membership
 from corvane.plans.canonical import broadcast_if_small
-from corvane.plans.shared import stored_by
+from corvane.plans.shared import stored, stored_by
 
 
 def col_or(df: DataFrame, name: str, default) -> Column:
@@ -154,14 +154,48 @@ class EventPricing(Extractor):
         section = price_stats(df, ["event_id", "section"]).withColumn("_zone", S.zone(F.col("section")))
         section = lookup(lookup(section, self.zones.select("event_id", "_zone", "median"), ["event_id", "_zone"], "z_"), event.select("event_id", "median"), ["event_id"], "e_")
         self.sections = section.select("event_id", "section", smooth(F.col("n"), F.col("median"), m, F.coalesce("z_median", "e_median", F.lit(g["median"]))).alias("median"))
-        artist = price_stats(df, ["artist_or_team"])
-        self.artists = artist.select("artist_or_team", "n", "mean", "std", smooth(F.col("n"), F.col("median"), m, F.lit(g["median"])).alias("median"))
-        az = price_stats(df, ["artist_or_team", "_zone"])
-        az = lookup(az, self.artists.select("artist_or_team", "median"), ["artist_or_team"], "a_")
-        self.artist_zones = az.select("artist_or_team", "_zone", smooth(F.col("n"), F.col("median"), m, F.coalesce("a_median", F.lit(g["median"]))).alias("median"))
+        self._by_artist(df, price_stats)
         self.members = bar_set(df.where("event_id is not null"), ["event_id"])
         return self
 
+    def _by_artist(self, df, stats):
+        g, m = self.g, self.m
+        artist = stats(df, ["artist_or_team"])
+        self.artists = artist.select("artist_or_team", "n", "mean", "std", smooth(F.col("n"), F.col("median"), m, F.lit(g["median"])).alias("median"))
+        az = lookup(stats(df, ["artist_or_team", "_zone"]), self.artists.select("artist_or_team", "median"), ["artist_or_team"], "a_")
+        self.artist_zones = az.select("artist_or_team", "_zone", smooth(F.col("n"), F.col("median"), m, F.coalesce("a_median", F.lit(g["median"]))).alias("median"))
+
+    def fit_transform(self, df, train):
+        """The same in one pass: training rows and rows to transform lie together by event, and statistics of an event are windows.
+
+        Rows dealt by event already (`listings_by_event`) aren't shuffled again; only the tables by artist are looked up.
+        """
+        m, keep, train = self.m, df.columns, F.coalesce(train, F.lit(False))
+        prices = stored(df.where(train).select("artist_or_team", S.zone(F.col("section")).alias("_zone"), "listing_price"), "train-prices")
+        g = self.g = global_stats(prices, kept=True)
+        self._by_artist(prices, price_stats_by_ranges)
+        priced = train & F.col("event_id").isNotNull() & F.col("listing_price").isNotNull()
+        df = df.withColumns({"_zone": S.zone(F.col("section")), "_event": by_event(), "_p": F.when(priced, F.col("listing_price")), "_c": S.cents(F.col("listing_price")), "_known": F.col("event_id").isNotNull()})
+        p = F.col("_p")
+        at = W.partitionBy("_event", "_zone", "section")
+        df = df.withColumns({"_s_n": F.count(p).over(at), "_s_mid": F.median(p).over(at)})
+        at = W.partitionBy("_event", "_zone")
+        df = df.withColumns({"_z_n": F.count(p).over(at), "_z_mid": F.median(p).over(at), "_z_low": F.min(p).over(at), "_z_high": F.max(p).over(at)})
+        at = W.partitionBy("_event")
+        df = df.withColumns({"_e_n": F.count(p).over(at), "e_total": F.sum(p).over(at), "e_mean": F.avg(p).over(at), "_e_std": F.stddev_samp(p).over(at), "_e_q": F.percentile(p, [0.25, 0.5, 0.75]).over(at), "_e_skew": adjusted_skewness(p, at)})
+        df = df.withColumn("_own", F.coalesce(F.max(priced).over(W.partitionBy("_event", "_c")), F.lit(False)) & F.col("_known") & F.col("_c").isNotNull())
+        # what the look-ups of transform give: null where there are no training prices
+        there = lambda level, x: F.when(F.col("_known") & (F.col(f"_{level}_n") > 0), x)
+        df = df.withColumns({
+            "e_n": there("e", F.col("_e_n")), "e_median": there("e", smooth(F.col("_e_n"), F.col("_e_q")[1], m, F.lit(g["median"]))), "e_std": there("e", F.coalesce("_e_std", F.lit(0.0))),
+            "e_total": there("e", F.col("e_total")), "e_mean": there("e", F.col("e_mean")), "e_iqr": there("e", F.when(F.col("_e_n") >= 3, F.col("_e_q")[2] - F.col("_e_q")[0])), "e_skew": there("e", F.when(F.col("_e_n") >= 3, S.clip(F.col("_e_skew"), -3.0, 3.0))),
+        })
+        df = df.withColumns({"z_median": there("z", smooth(F.col("_z_n"), F.col("_z_mid"), m, F.coalesce("e_median", F.lit(g["median"])))), "z_range": there("z", F.when(F.col("_z_n") >= 5, S.clip((F.col("_z_high") - F.col("_z_low")) / F.greatest(F.col("_z_mid"), F.lit(1.0)), 0.0, 10.0)))})
+        df = df.withColumn("s_median", there("s", F.when(F.col("section").isNotNull(), smooth(F.col("_s_n"), F.col("_s_mid"), m, F.coalesce("z_median", "e_median", F.lit(g["median"]))))))
+        df = lookup(df, broadcast_if_small(stored(self.artists, "artists")), ["artist_or_team"], "a_")
+        df = lookup(df, broadcast_if_small(stored(self.artist_zones, "artist-zones")), ["artist_or_team", "_zone"], "az_")
+        return self._features(df, keep, False)
+
     def _joined(self, df):
         df = df.withColumn("_zone", S.zone(F.col("section")))
         for stats, keys, prefix in ((self.events, ["event_id"], "e_"), (self.zones, ["event_id", "_zone"], "z_"), (self.sections, ["event_id", "section"], "s_"), (self.artists, ["artist_or_team"], "a_"), (self.artist_zones, ["artist_or_team", "_zone"], "az_")):
@@ -169,8 +203,10 @@ class EventPricing(Extractor):
         return df
 
     def transform(self, df, is_train=False):
-        g, m, keep = self.g, self.m, df.columns
-        df = with_membership(self._joined(df), self.members, ["event_id"], "_own")
+        return self._features(with_membership(self._joined(df), self.members, ["event_id"], "_own"), df.columns, is_train)
+
+    def _features(self, df, keep, is_train):
+        g, m = self.g, self.m
         of = lambda name, default: F.coalesce(f"e_{name}", f"a_{name}", F.lit(default))
         n, price = F.col("e_n"), F.col("listing_price")
         rest = F.when(n > 1, smooth(n - 1, (F.col("e_total") - price) / (n - 1), m, F.lit(g["mean"]))).otherwise(F.lit(g["mean"]))
@@ -192,8 +228,10 @@ class RelativePricing(EventPricing):
     uses_train_flag = False
 
     def transform(self, df, is_train=False):
-        g, keep = self.g, df.columns
-        df = self._joined(df)
+        return self._features(self._joined(df), df.columns, is_train)
+
+    def _features(self, df, keep, is_train):
+        g = self.g
         artist = F.coalesce("a_median", F.lit(g["median"]))
         event = F.coalesce("e_median", artist)
         zone = F.coalesce("z_median", event)

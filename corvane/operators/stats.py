@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
+from corvane.plans.canonical import broadcast_if_small
+from corvane.plans.shared import stored
+
 
 def smooth(n, x, m: float, prior) -> Column:
     """(n x + m prior) / (n + m)."""
@@ -21,10 +25,30 @@ def price_stats(df: DataFrame, keys: list[str], price: str = "listing_price") ->
     return rows.groupBy(*keys).agg(F.count(p).alias("n"), F.sum(p).alias("total"), F.avg(p).alias("mean"), F.median(p).alias("median"), F.coalesce(F.stddev_samp(p), F.lit(0.0)).alias("std"))
 
 
-def adjusted_skewness(x: Column) -> Column:
+def price_stats_by_ranges(df: DataFrame, keys: list[str], price: str = "listing_price", reach: float = 1 / 512) -> DataFrame:
+    """price_stats for few keys with many rows each, as a stored table: of the rows of a stored df only those near the middle are dealt by key.
+
+    Approximate percentiles a little below and above the half give the range that holds it; what lies below is counted, and
+    the median is picked inside the range. Should it lie outside for a key, price_stats does it.
+    """
+    p = F.col(price)
+    rows = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in (price, *keys)))
+    ends = F.percentile_approx(p, [0.5 - reach, 0.5 + reach], 10_000)
+    base = stored(rows.groupBy(*keys).agg(F.count(p).alias("n"), F.sum(p).alias("total"), F.avg(p).alias("mean"), ends.alias("_ends"), F.coalesce(F.stddev_samp(p), F.lit(0.0)).alias("std")), "price-stats")
+    near = rows.join(broadcast_if_small(base.select(*keys, "n", F.col("_ends")[0].alias("_low"), F.col("_ends")[1].alias("_high"))), keys).where(p <= F.col("_high"))
+    values = near.groupBy(*keys, "n", F.when(p >= F.col("_low"), p).alias("_x")).agg(F.count(F.lit(1)).alias("_k"))
+    values = values.withColumn("_upto", F.sum("_k").over(W.partitionBy(*keys).orderBy(F.asc_nulls_first("_x"))))
+    at = lambda rank: F.max(F.when((F.col("_upto") > rank) & (F.col("_upto") - F.col("_k") <= rank), F.col("_x")))
+    middle = values.groupBy(*keys).agg(at(F.floor((F.col("n") - 1) / 2)).alias("_a"), at(F.floor(F.col("n") / 2)).alias("_b"))
+    median = F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(0.5 * F.col("_a") + 0.5 * F.col("_b"))
+    out = stored(base.join(broadcast_if_small(stored(middle.select(*keys, median.alias("median")), "medians")), keys, "left").select(*keys, "n", "total", "mean", "median", "std"), "price-stats")
+    return out if out.where("median IS NULL").isEmpty() else stored(price_stats(df, keys, price), "price-stats")
+
+
+def adjusted_skewness(x: Column, over: WindowSpec | None = None) -> Column:
     """Bias-corrected; 0 of fewer than three values or of equal ones."""
-    n = F.count(x)
-    g = F.skewness(x)
+    n, g = F.count(x), F.skewness(x)
+    n, g = (n, g) if over is None else (n.over(over), g.over(over))
     fixed = g * F.sqrt(n * (n - 1)) / (n - 2)
     return F.when((n < 3) | g.isNull() | F.isnan(g), 0.0).otherwise(fixed)
 
@@ -102,12 +126,14 @@ def _by_ranges(rows: DataFrame, probs: list[float], n: int, reach: float) -> lis
     return out
 
 
-def global_stats(df: DataFrame, price: str = "listing_price") -> dict:
+def global_stats(df: DataFrame, price: str = "listing_price", kept: bool = False) -> dict:
+    """kept: the rows of df are stored already."""
     p = F.col(price)
-    df = df.select(price).persist()
+    df = df.select(price) if kept else df.select(price).persist()
     row = df.agg(F.avg(p).alias("mean"), F.stddev_samp(p).alias("std"), adjusted_skewness(p).alias("skew"), F.avg((p > 200).cast("double")).alias("premium"), F.count(p).alias("n")).collect()[0].asDict()
     row["q25"], row["median"], row["q75"] = exact_percentiles(df, price, [0.25, 0.5, 0.75], row["n"], kept=True)
-    df.unpersist()
+    if not kept:
+        df.unpersist()
     return row | {"mean": 150.0 if row["mean"] is None else row["mean"], "median": 150.0 if row["median"] is None else row["median"], "std": 50.0 if row["std"] is None else row["std"], "premium": 0.5 if row["premium"] is None else row["premium"]}
 
 

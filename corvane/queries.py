@@ -427,7 +427,7 @@ def x04_time_series(spark, sf_dir):
 
 @query
 def x05_event_pricing(spark, sf_dir):
-    return _extracted(features.EventPricing, spark, sf_dir)
+    return _in_one_pass(features.EventPricing, spark, sf_dir)
 
 
 @query

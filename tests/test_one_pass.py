@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corvane import queries as catalogue
 from corvane.operators import features
+from corvane.operators.stats import price_stats, price_stats_by_ranges
 from corvane.plans.canonical import listings, listings_by_event
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -58,3 +59,26 @@ def test_cold_start_deals_rows_once(spark, no_broadcast):
     df = catalogue.x07_cold_start(spark, SF_DIR)
     assert shuffles(df) == 2  # the rows, and the parts that are merged into them
     assert df.count() == spark.read.parquet(f"{SF_DIR}/lineitem.parquet").count()
+
+
+@pytest.mark.parametrize("made", [features.EventPricing, lambda: features.EventPricing(loo="flag")])
+def test_pricing_in_one_pass(spark, made):
+    same_values(made, odd_rows(spark), F.col("train"))
+    same_values(made, odd_rows(spark), F.lit(False))
+
+
+@pytest.mark.parametrize("name", ["x05_event_pricing"])
+def test_pricing_deals_rows_once(spark, no_broadcast, name):
+    assert shuffles(catalogue.queries()[name](spark, SF_DIR)) == 2
+
+
+def test_price_stats_by_ranges(spark):
+    pick = random.Random(2)
+    rows = [(pick.choice(["a", "b", None, f"k{i % 40}"]), pick.choice([None, 7.0, 9.5, round(pick.expovariate(0.01), 2)])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, listing_price double")
+    want = {r.k: r for r in price_stats(df, ["k"]).collect()}
+    got = {r.k: r for r in price_stats_by_ranges(df, ["k"]).collect()}
+    assert got.keys() == want.keys()
+    for k, r in want.items():
+        assert (got[k].n, got[k].median) == (r.n, r.median)
+        assert (got[k].total, got[k].mean, got[k].std) == pytest.approx((r.total, r.mean, r.std))
