@@ -432,7 +432,7 @@ def x05_event_pricing(spark, sf_dir):
 
 @query
 def x06_relative_pricing(spark, sf_dir):
-    return _extracted(features.RelativePricing, spark, sf_dir)
+    return _in_one_pass(features.RelativePricing, spark, sf_dir)
 
 
 @query

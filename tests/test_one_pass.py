@@ -61,13 +61,13 @@ def test_cold_start_deals_rows_once(spark, no_broadcast):
     assert df.count() == spark.read.parquet(f"{SF_DIR}/lineitem.parquet").count()
 
 
-@pytest.mark.parametrize("made", [features.EventPricing, lambda: features.EventPricing(loo="flag")])
+@pytest.mark.parametrize("made", [features.EventPricing, features.RelativePricing, lambda: features.EventPricing(loo="flag")])
 def test_pricing_in_one_pass(spark, made):
     same_values(made, odd_rows(spark), F.col("train"))
     same_values(made, odd_rows(spark), F.lit(False))
 
 
-@pytest.mark.parametrize("name", ["x05_event_pricing"])
+@pytest.mark.parametrize("name", ["x05_event_pricing", "x06_relative_pricing"])
 def test_pricing_deals_rows_once(spark, no_broadcast, name):
     assert shuffles(catalogue.queries()[name](spark, SF_DIR)) == 2
 
