@@ -442,14 +442,46 @@ class ListingStructural(Extractor):
         self.spread = df.where("event_id is not null").groupBy("event_id", "_bucket").agg(F.least(F.count_distinct("section"), F.lit(50)).alias("sections"))
         return self
 
+    def fit_transform(self, df, train, is_train=False):
+        """The same in one pass over rows dealt by event (`listings_by_event`): every statistic is a window inside the event.
+
+        With is_train the training rows alone are transformed, as such.
+        """
+        keep, m, train = df.columns, self.prior_m, F.coalesce(train, F.lit(False))
+        row = df.where(train).agg(F.avg("listing_price").alias("mean")).collect()[0]
+        self.g = 150.0 if row["mean"] is None else row["mean"]
+        df = df.where(train) if is_train else df
+        known, placed = F.col("event_id").isNotNull(), F.col("event_id").isNotNull() & F.col("section").isNotNull()
+        df = df.withColumns({"_bucket": S.row_bucket(col_or(df, "row", F.lit(None).cast("string"))), "_event": by_event(), "_fits": train & known, "_p": F.when(train & known, F.col("listing_price"))})
+        p, at = F.col("_p"), W.partitionBy("_event", "section", "_bucket")
+        df = df.withColumn("_first", F.row_number().over(at.orderBy(F.col("_fits").desc())))
+        df = df.withColumns({"_r_n": F.count(p).over(at), "r_total": F.sum(p).over(at), "r_mean": F.avg(p).over(at)})
+        at = W.partitionBy("_event", "section")
+        df = df.withColumns({"_s_n": F.count(p).over(at), "_s_mean": F.avg(p).over(at)})
+        at = W.partitionBy("_event")
+        df = df.withColumns({"_e_n": F.count(p).over(at), "e_mean": F.avg(p).over(at)})
+        # a section counts once in a bucket, at its first training row
+        once = F.when((F.col("_first") == 1) & F.col("_fits") & F.col("section").isNotNull(), 1)
+        at = W.partitionBy("_event", "_bucket")
+        df = df.withColumns({"_b_n": F.count(F.when(F.col("_fits"), 1)).over(at), "_sections": F.count(once).over(at)})
+        e_mean = F.when(known & (F.col("_e_n") > 0), F.col("e_mean"))
+        prior = F.when(placed & (F.col("_s_n") > 0), smooth(F.col("_s_n"), F.col("_s_mean"), m, F.coalesce(e_mean, F.lit(self.g))))
+        df = df.withColumns({"e_mean": e_mean, "s_prior": prior, "r_n": F.when(placed & (F.col("_r_n") > 0), F.col("_r_n")), "b_sections": F.when(known & (F.col("_b_n") > 0), F.least(F.col("_sections"), F.lit(50)))})
+        # a training row with a price is one of those that its group was made of
+        df = df.withColumn("_own", placed & F.col("listing_price").isNotNull())
+        return self._features(df, keep, is_train)
+
     def transform(self, df, is_train=False):
-        keep, m = df.columns, self.m
+        keep = df.columns
         df = df.withColumn("_bucket", S.row_bucket(col_or(df, "row", F.lit(None).cast("string"))))
         for stats, keys, prefix in ((self.events, ["event_id"], "e_"), (self.priors, ["event_id", "section"], "s_"), (self.groups, self.KEYS, "r_"), (self.spread, ["event_id", "_bucket"], "b_")):
             df = lookup(df, stats, keys, prefix)
         if is_train:
             df = with_membership(df, self.members, self.KEYS, "_own")
-        none = F.lit(None).cast("string")
+        return self._features(df, keep, is_train)
+
+    def _features(self, df, keep, is_train):
+        none, m = F.lit(None).cast("string"), self.m
         seat, to = S.seat_number(col_or(df, "seat_from", none)), S.seat_number(col_or(df, "seat_to", none))
         prior, n = F.coalesce("s_prior", "e_mean", F.lit(self.g)), F.col("r_n")
         value = smooth(n, F.col("r_mean"), m, prior)

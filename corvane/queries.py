@@ -52,10 +52,10 @@ def _extracted(make: Callable[[], features.Extractor], spark, sf_dir, is_train:
     return _rounded(out, made.names, "listing_id")
 
 
-def _in_one_pass(make: Callable[[], features.Extractor], spark, sf_dir) -> DataFrame:
+def _in_one_pass(make: Callable[[], features.Extractor], spark, sf_dir, **how) -> DataFrame:
     """The same for extractors whose statistics are mostly by event."""
     made = make()
-    return _rounded(made.fit_transform(listings_by_event(spark, sf_dir), F.col("is_train")), made.names, "listing_id")
+    return _rounded(made.fit_transform(listings_by_event(spark, sf_dir), F.col("is_train"), **how), made.names, "listing_id")
 
 
 # sources and sinks
@@ -457,7 +457,7 @@ def x09_section(spark, sf_dir):
 
 @query
 def x10_listing_structural(spark, sf_dir):
-    return _extracted(features.ListingStructural, spark, sf_dir)
+    return _in_one_pass(features.ListingStructural, spark, sf_dir)
 
 
 @query

@@ -82,3 +82,31 @@ def test_price_stats_by_ranges(spark):
     for k, r in want.items():
         assert (got[k].n, got[k].median) == (r.n, r.median)
         assert (got[k].total, got[k].mean, got[k].std) == pytest.approx((r.total, r.mean, r.std))
+
+
+def structural_rows(spark):
+    pick = random.Random(8)
+    odd = odd_rows(spark).collect()
+    seat = lambda: pick.choice([None, "*", "4", "30"])
+    return spark.createDataFrame([(*r, pick.choice(["1", "9", "30", "GA", None, "C"]), seat(), seat()) for r in odd], SCHEMA + ", row string, seat_from string, seat_to string")
+
+
+def test_structure_in_one_pass(spark):
+    same_values(features.ListingStructural, structural_rows(spark), F.col("train"))
+    same_values(features.ListingStructural, structural_rows(spark), F.lit(False))
+
+
+def test_structure_of_training_rows_in_one_pass(spark):
+    df, made = structural_rows(spark), features.ListingStructural()
+    train = df.where("train")
+    want = {r.listing_id: r for r in made.fit(train).transform(train, True).collect()}
+    got = {r.listing_id: r for r in features.ListingStructural().fit_transform(df, F.col("train"), is_train=True).collect()}
+    assert got.keys() == want.keys()
+    for k, r in want.items():
+        for name in made.names:
+            assert got[k][name] == pytest.approx(r[name], abs=1e-9), (name, r)
+
+
+@pytest.mark.parametrize("name", ["x10_listing_structural"])
+def test_structure_deals_rows_once(spark, no_broadcast, name):
+    assert shuffles(catalogue.queries()[name](spark, SF_DIR)) == 2
