@@ -462,7 +462,7 @@ def x10_listing_structural(spark, sf_dir):
 
 @query
 def x10_listing_structural_train(spark, sf_dir):
-    return _extracted(features.ListingStructural, spark, sf_dir, True)
+    return _in_one_pass(features.ListingStructural, spark, sf_dir, is_train=True)
 
 
 @query

@@ -107,6 +107,6 @@ def test_structure_of_training_rows_in_one_pass(spark):
             assert got[k][name] == pytest.approx(r[name], abs=1e-9), (name, r)
 
 
-@pytest.mark.parametrize("name", ["x10_listing_structural"])
+@pytest.mark.parametrize("name", ["x10_listing_structural", "x10_listing_structural_train"])
 def test_structure_deals_rows_once(spark, no_broadcast, name):
     assert shuffles(catalogue.queries()[name](spark, SF_DIR)) == 2
