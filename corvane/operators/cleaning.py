@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from corvane.functions import scalars as S
 from corvane.operators.stats import exact_percentiles
+from corvane.plans.canonical import broadcast_if_small
+from corvane.plans.shared import freed, stored
 
 REQUIRED = {"listings": ["event_id", "timestamp", "section", "listing_price"], "events": ["event_id", "event_type", "event_datetime", "artist_or_team", "venue_name", "city"], "snapshots": ["event_id", "seat_zone", "timestamp", "price_min"]}
 ZONES = ["floor_vip", "lower_tier", "upper_tier", "balcony"]
@@ -144,7 +146,7 @@ def flag_outliers(df: DataFrame, price: str = "listing_price", low: float = 1.0,
 DUPLICATE_KEY = ["event_id", "section", "row", "seat_from", "seat_to"]
 
 
-def flag_duplicates(df: DataFrame, hours: float = 6.0, key: list[str] | None = None, seq: str = "listing_id") -> DataFrame:
+def flag_duplicates(df: DataFrame, hours: float = 6.0, key: list[str] | None = None, seq: str = "listing_id", once: bool = False) -> DataFrame:
     """is_duplicate: within `hours` of the last kept row of the same key. Null event, section or row: never flagged.
 
     The anchor is the last kept row, which no fixed frame gives: rows of a key are folded in order of time. A key is one
@@ -156,7 +158,7 @@ def flag_duplicates(df: DataFrame, hours: float = 6.0, key: list[str] | None = N
         content = F.sha2(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), 256)
         named = df.withColumn("_content", content)
         named = named.withColumn(seq, F.concat_ws("-", "_content", F.row_number().over(W.partitionBy("_content").orderBy("_content")))).drop("_content")
-        return flag_duplicates(named, hours, key, seq).drop(seq).select(*df.columns, "is_duplicate")
+        return flag_duplicates(named, hours, key, seq, once).drop(seq).select(*df.columns, "is_duplicate")
     soft = [F.coalesce(k, F.lit("")).alias(f"_{k}") for k in key if k not in hard]
     whole = F.lit(True)
     for k in hard:
@@ -172,6 +174,9 @@ def flag_duplicates(df: DataFrame, hours: float = 6.0, key: list[str] | None = N
 
     groups = points.groupBy(*names).agg(F.sort_array(F.collect_list("x")).alias("xs")).where(F.size("xs") > 1)
     dropped = groups.select(F.explode(F.aggregate("xs", start, step, lambda held: held["out"])).alias(seq), F.lit(True).alias("is_duplicate"))
+    if once:
+        dropped = broadcast_if_small(stored(dropped, "duplicates"))
+        freed(df.sparkSession)
     return df.join(dropped, seq, "left").withColumn("is_duplicate", F.coalesce("is_duplicate", F.lit(False)))
 
 
@@ -238,10 +243,10 @@ def listing_pipeline(events: DataFrame | None = None) -> Pipeline:
         ("times", timed, {}),
         ("impute", impute, {}),
         ("outliers", flag_outliers, {"outliers": F.count_if(F.col("is_outlier"))}),
-        ("duplicates", flag_duplicates, {"duplicates": F.count_if(F.col("is_duplicate"))}),
+        ("duplicates", lambda d: flag_duplicates(d, once=True), {"duplicates": F.count_if(F.col("is_duplicate"))}),
     ]
     if events is not None:
-        known = events.select("event_id").distinct().withColumn("_known", F.lit(True))
+        known = broadcast_if_small(stored(events.select("event_id").distinct(), "known-events")).withColumn("_known", F.lit(True))
         stages.append(("references", lambda d: d.join(known, "event_id", "left").withColumn("has_event", F.coalesce("_known", F.lit(False))).drop("_known"), {"orphans": F.count_if(~F.col("has_event"))}))
     return Pipeline(stages, "listings")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -43,6 +44,12 @@ def stored(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def freed(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more: they lie there until the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def stored_by(df: DataFrame, column: str, values: list[str], name: str) -> dict[str, DataFrame]:
     """df written to the shared folder in one pass, read back as a table for each value of the column, without it."""
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

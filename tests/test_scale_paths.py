@@ -70,3 +70,15 @@ def test_models_join_their_rows_once(spark):
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "model-rows" in rows.inputFiles()[0] and set(names) < set(rows.columns)
     assert rows.count() > 0 and rows.where("label is null").count() == 0
+
+
+def test_pipeline_finds_duplicates_once(spark):
+    """What reads the pipeline's result doesn't fold the keys again."""
+    rows = spark.createDataFrame([(f"l{i}", f"e{i % 3}", "A", "1", None, "2", f"2025-01-01 {i:02d}:00:00", 10.0 + i) for i in range(24)], "listing_id string, event_id string, section string, row string, seat_from string, seat_to string, timestamp string, listing_price double")
+    rows = rows.withColumns({"timestamp": F.col("timestamp").cast("timestamp_ntz"), "event_datetime": F.expr("timestamp_ntz'2025-02-01 00:00:00'"), "artist_or_team": F.lit("a"), "venue_name": F.lit("v"), "city": F.lit("Paris"), "venue_capacity": F.lit(100), "face_value": F.lit(5.0)})
+    out = cleaning.listing_pipeline(rows.select("event_id").where("event_id <> 'e1'")).process(rows)
+    assert not [i for i in out.issues if "CRITICAL" in i]
+    assert "collect_list" not in out.data._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.listing_id: (r.is_duplicate, r.has_event) for r in out.data.collect()}
+    want = {r.listing_id: r.is_duplicate for r in cleaning.flag_duplicates(rows).collect()}
+    assert got == {k: (v, int(k[1:]) % 3 != 1) for k, v in want.items()} and set(want.values()) == {True, False}
